@@ -56,4 +56,47 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
-SQL = {"op2_sharding": OP2, "op10_mixing": OP10}
+OP7 = r"""
+WITH split AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM split, unnest(range(1, len(w) - 6)) u(i) WHERE len(w) >= 8),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (
+  SELECT doc_id, sum(least(8, coalesce(next - i, 8)))::BIGINT AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM twice) GROUP BY doc_id),
+counted AS (
+  SELECT s.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
+    (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::BIGINT AS n_capitals
+  FROM split s LEFT JOIN covered USING (doc_id)),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted),
+ratios AS (
+  SELECT doc_id, lang, base_failed, unnest([
+    {'rule': 'symbols', 'a': n_symbols, 'b': word_chars}, {'rule': 'dup_lines', 'a': n_dup_lines, 'b': n_lines},
+    {'rule': 'repeats', 'a': n_repeat_words, 'b': n_words}, {'rule': 'capitals', 'a': n_capitals, 'b': word_chars}], recursive := true)
+  FROM based),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+grid AS (SELECT c, row_number() OVER () AS step FROM unnest([900, 800, 700, 600, 500, 400, 300, 250, 200, 160, 130, 100, 80, 65, 50, 40, 30, 25, 20, 15, 10]) g(c)),
+held AS (
+  SELECT lang, rule, c, step, count(*) AS n, count(*) FILTER (1000 * a > c * b) AS k
+  FROM ratios JOIN good USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
+tested AS (
+  SELECT *, CASE WHEN k >= n * 0.005 THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(greatest(j, 0) + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(0.995)))) END
+    <= 0.05 / (4 * (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents))) AS passed
+  FROM held),
+certified AS (
+  SELECT lang, rule, min(c) AS cut
+  FROM (SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY step) AS so_far FROM tested) WHERE so_far GROUP BY ALL),
+failed AS (
+  SELECT DISTINCT doc_id FROM ratios r JOIN certified q ON r.rule = q.rule AND r.lang IS NOT DISTINCT FROM q.lang WHERE 1000 * a > cut * b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept
+FROM based
+"""
+
+SQL = {"op7_quality": OP7, "op2_sharding": OP2, "op10_mixing": OP10}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockstrata.llm import oracle
 from blockstrata.llm.mixing import mix_report
+from blockstrata.llm.quality import judge_documents
 from blockstrata.llm.sharding import shard_documents
 
 
@@ -17,6 +18,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
