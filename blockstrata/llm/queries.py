@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockstrata.llm import oracle
 from blockstrata.llm.mixing import mix_report
+from blockstrata.llm.near_dup import near_dups
 from blockstrata.llm.quality import judge_documents
 from blockstrata.llm.sharding import shard_documents
 
@@ -14,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups(_table(spark, sf_dir, "documents"), shingle=4, bits=4)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
