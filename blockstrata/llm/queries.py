@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blockstrata.llm import oracle
+from blockstrata.llm.hnsw import nearest
 from blockstrata.llm.mixing import mix_report
 from blockstrata.llm.near_dup import near_dups
 from blockstrata.llm.quality import judge_documents
@@ -24,6 +25,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
