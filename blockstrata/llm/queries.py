@@ -10,6 +10,7 @@ from blockstrata.llm.mixing import mix_report
 from blockstrata.llm.near_dup import near_dups
 from blockstrata.llm.quality import judge_documents
 from blockstrata.llm.sharding import shard_documents
+from blockstrata.llm.toxicity import score_documents
 from blockstrata.llm.warc import archive_pages
 
 
@@ -30,6 +31,10 @@ def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
