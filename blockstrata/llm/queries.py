@@ -8,11 +8,15 @@ from blockstrata.llm import oracle
 from blockstrata.llm.hnsw import nearest
 from blockstrata.llm.mixing import mix_report
 from blockstrata.llm.near_dup import near_dups
+from blockstrata.llm.pieces import encode_digests
 from blockstrata.llm.quality import judge_documents
 from blockstrata.llm.sharding import shard_documents
 from blockstrata.llm.toxicity import score_documents
 from blockstrata.llm.warc import archive_pages
 
+#: Vocabulary file of a public tokenizer.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
