@@ -11,6 +11,7 @@ from blockstrata.llm.near_dup import near_dups
 from blockstrata.llm.pieces import encode_digests
 from blockstrata.llm.quality import judge_documents
 from blockstrata.llm.sharding import shard_documents
+from blockstrata.llm.suffix_dedup import report as suffix_report
 from blockstrata.llm.toxicity import score_documents
 from blockstrata.llm.warc import archive_pages
 
@@ -30,6 +31,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))

@@ -47,3 +47,11 @@ def discard(*tables: DataFrame | None) -> None:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop shuffle files of finished phases: it does so when their handles are collected."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
