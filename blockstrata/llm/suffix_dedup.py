@@ -17,17 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockstrata.llm.passage_tables import contents, distinct_segments, found_segments, keys_of
 from blockstrata.llm.passages import Segments, segments
 from blockstrata.llm.store import discard, release, settle
 
 LENGTH, ANCHOR = 200, 32
-#: Bytes that a task reads, or sorts, at once.
-CHUNK, SHARD = 1 << 20, 1 << 20
-#: An anchor with more distinct segments than this is split by what surrounds it: FINE windows at a time.
-CROWD, FINE = 4096, 8
+#: Bytes that a task sorts at once.
+SHARD = 1 << 20
 
 
 # -- a shard -----------------------------------------------------------------------------------------------------
@@ -172,103 +171,20 @@ def cover(windows: np.ndarray, depth: int) -> list[int]:
 # -- the operator ------------------------------------------------------------------------------------------------
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first, texts) of about CHUNK bytes together."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+class Bytes:
+    """Bytes as units of passages."""
 
+    length, anchor = LENGTH, ANCHOR
 
-def byte_segments(texts: list[bytes]) -> Segments:
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("i8")
-    return segments(np.frombuffer(b"".join(texts), "u1").astype("u8"), starts, LENGTH, ANCHOR)
+    def segments(self, texts: list[bytes]) -> Segments:
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("i8")
+        return segments(np.frombuffer(b"".join(texts), "u1").astype("u8"), starts, LENGTH, ANCHOR)
 
+    def sequence(self, text: bytes) -> bytes:
+        return text
 
-def _keys(id_col: str, text_col: str) -> list[Column]:
-    """_u1, _u2 and _bytes: id and text digest tell rows apart, but for those that repeat both."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_u1"), F.xxhash64(text).alias("_u2"), text.alias("_bytes")]
-
-
-_FOUND = "_u1 bigint, _u2 bigint, start int, windows int, anchor_at int, anchor bigint, digest bigint, n bigint"
-
-
-def found_segments(rows: DataFrame, combine: bool) -> DataFrame:
-    """A row per segment; with ``combine``, equal segments of a batch are one row with their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            u1, u2 = (batch.column(i).to_numpy() for i in (0, 1))
-            got = [(at, byte_segments(some)) for at, some in chunks(texts)]
-            doc = np.concatenate([s.doc + at for at, s in got])
-            rest = [np.concatenate([getattr(s, c) for _, s in got]) for c in Segments._fields[1:]]
-            n = np.ones(len(doc), "i8")
-            if combine and len(doc):
-                _, first, n = np.unique(rest[3] ^ (rest[4] * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-                doc, rest = doc[first], [c[first] for c in rest]
-            start, windows, at, anchor, digest = rest
-            columns = [u1[doc], u2[doc], start.astype("i4"), windows.astype("i4"), at.astype("i4"), anchor.view("i8"), digest.view("i8"), n]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _FOUND.split(", ")])
-
-    return rows.mapInArrow(run, _FOUND)
-
-
-def distinct_segments(rows: DataFrame) -> DataFrame:
-    """Segments whose anchor occurs twice or more, each once: anchor, digest, n, crowd and one place of it; settled.
-
-    Segments are combined within batches before the one shuffle, which is by anchor for both sums.
-    """
-    place = F.struct("_u1", "_u2", "start", "windows", "anchor_at")
-    per = found_segments(rows, True).repartition("anchor").groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(place).alias("at"))
-    of = Window.partitionBy("anchor")
-    per = per.withColumn("_total", F.sum("n").over(of)).withColumn("crowd", F.count("*").over(of) > CROWD).where("_total > 1")
-    return settle(per.select("anchor", "digest", "n", "crowd", "at.*"), "segments")
-
-
-_TAKEN = "key bigint, anchor bigint, digest bigint, n bigint, base int, content binary"
-
-
-def contents(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The bytes of distinct segments, keyed by anchor; segments of a crowded anchor in parts of FINE windows,
-    keyed by what all windows of a part have in common."""
-    lists = distinct.groupBy("_u1", "_u2").agg(F.collect_list(F.struct("anchor", "digest", "n", "crowd", "start", "windows", "anchor_at")).alias("_own"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out = []
-                for text, own in zip(*(batch.slice(at, 256).column(i).to_pylist() for i in (0, 1)), strict=True):
-                    for s in own:
-                        out += list(_parts(text, s))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], [x.split()[0] for x in _TAKEN.split(", ")])
-
-    return rows.join(lists, ["_u1", "_u2"]).select("_bytes", "_own").mapInArrow(run, _TAKEN)
-
-
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-
-
-def _parts(text: bytes, s: dict) -> Iterator[tuple]:
-    lo, windows = s["start"], s["windows"]
-    if not s["crowd"]:
-        yield s["anchor"], s["anchor"], s["digest"], s["n"], 0, text[lo : lo + windows + LENGTH - 1]
-        return
-    anchor, first = lo + s["anchor_at"], 0
-    while first < windows:
-        ahead = anchor - (lo + first)  # how far the anchor is from this window's start
-        low = ahead // FINE * FINE
-        last = min(windows - 1, anchor - low - lo)
-        common = text[anchor - low : anchor - (low + FINE - 1) + LENGTH]
-        key = int.from_bytes(hashlib.blake2b(common + low.to_bytes(4), digest_size=8).digest(), signed=True)
-        yield key, s["anchor"], s["digest"], s["n"], first, text[lo + first : lo + last + LENGTH]
-        first = last + 1
+    def pack(self, part: bytes) -> bytes:
+        return part
 
 
 _RANGES = "anchor bigint, digest bigint, ranges array<int>"
@@ -280,18 +196,18 @@ def repeated_ranges(taken: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(shards: list[tuple[list[tuple], Shard]]) -> Iterator[pa.RecordBatch]:
             for rows, shard in shards:
-                out = [(r[1], r[2], [r[4] + x for x in c]) for r, c in zip(rows, shard.covered(), strict=True) if c]
+                out = [(r[1], r[2], [r[5] + x for x in c]) for r, c in zip(rows, shard.covered(), strict=True) if c]
                 columns = list(zip(*out, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["anchor", "digest", "ranges"])
 
         def made(rows: list[tuple]) -> tuple[list[tuple], Shard]:
-            return rows, Shard([r[5] for r in rows], [r[3] for r in rows])
+            return rows, Shard([r[6] for r in rows], [r[3] for r in rows])
 
         held: list[tuple] = []  # rows of the shard to be
         size, last, open_ = 0, None, []  # open_: full shards of the group that is still coming
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last and r[:3] == last[:3] and r[4] == last[4]:
+                if last and r[:3] == last[:3] and r[5] == last[5]:
                     continue  # a repeated row of the input
                 if last and size >= SHARD:
                     if last[0] == r[0] and held[0][0] == r[0]:
@@ -304,12 +220,12 @@ def repeated_ranges(taken: DataFrame) -> DataFrame:
                         cut = next(i for i, x in enumerate(held) if x[0] == r[0])
                         yield from told([made(held[:cut])])
                         held = held[cut:]
-                        size = sum(len(x[5]) for x in held)
+                        size = sum(len(x[6]) for x in held)
                 elif open_ and last[0] != r[0]:
                     yield from told(_merged([*open_, made(held)] if held else open_))
                     held, size, open_ = [], 0, []
                 held.append(r)
-                size += len(r[5])
+                size += len(r[6])
                 last = r
         if held:
             open_.append(made(held))
@@ -328,12 +244,12 @@ def _merged(shards: list) -> list:
 
 def ranges_by_document(rows: DataFrame) -> DataFrame:
     """_u1, _u2 and ranges (from, to) of repeated bytes, unmerged; settled."""
-    distinct = distinct_segments(rows)
+    distinct = distinct_segments(rows, Bytes())
     release(rows.sparkSession)
-    ranges = settle(repeated_ranges(contents(rows, distinct)), "ranges")
+    ranges = settle(repeated_ranges(contents(rows, distinct, Bytes())), "ranges")
     discard(distinct)
     release(rows.sparkSession)
-    every = found_segments(rows, False).select("_u1", "_u2", "start", "anchor", "digest")
+    every = found_segments(rows, Bytes(), False).select("_u1", "_u2", "start", "anchor", "digest")
     met = every.join(ranges, ["anchor", "digest"]).select("_u1", "_u2", F.transform("ranges", lambda x: x + F.col("start")).alias("r"))
     out = settle(met.groupBy("_u1", "_u2").agg(F.flatten(F.collect_list("r")).alias("ranges")), "stretches")
     discard(ranges)
@@ -355,7 +271,7 @@ def cut(text: bytes, ranges: list[int] | None) -> tuple[bytes, int, int]:
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, carried: Column) -> DataFrame:
-    keys = _keys(id_col, text_col)
+    keys = keys_of(id_col, text_col)
     stretches = ranges_by_document(docs.select(*keys))
     return docs.select(*keys, carried).join(stretches, ["_u1", "_u2"], "left")
 
