@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blockstrata.llm import oracle
+from blockstrata.llm.automaton_dedup import report as automaton_report
 from blockstrata.llm.hnsw import nearest
 from blockstrata.llm.mixing import mix_report
 from blockstrata.llm.near_dup import near_dups
@@ -52,6 +53,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
