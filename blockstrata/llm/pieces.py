@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Units and pairs of pieces that a worker remembers; rows of one matrix; longer units go one by one.
-MEMORY, ROWS, LONG = 200_000, 4096, 200
+#: Units that a worker remembers, slots for pairs of pieces, rows of one matrix; longer units go one by one.
+MEMORY, SLOTS, ROWS, LONG = 400_000, 1 << 21, 8192, 200
 
 
 class Pieces:
@@ -51,20 +53,11 @@ class Pieces:
         self.keys, self.ids = hashes[order], np.array([self.rank[x][1] for x in whole], "i8")[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        self.bitmap = np.zeros(1 << 20, bool)
+        self.bitmap[self.keys >> np.uint64(44)] = True
+        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, _BASE)]).astype("u8"))
         self.known: dict[str, tuple[int, ...]] = {}
-        self.agree: dict[int, bool] = {}
-
-    @classmethod
-    def load(cls, path: str) -> Pieces:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        if sp.encode("  a  b ", out_type=str) and sp.decode(sp.encode("  a  b ")) != "  a  b ":
-            raise ValueError("the model's normalisation isn't the identity with a blank in front")
-        n = range(sp.get_piece_size())
-        names = [sp.id_to_piece(i) for i in n]
-        special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in n]
-        return cls(names, [sp.get_score(i) for i in n], {int(names[i][3:5], 16): i for i in n if sp.is_byte(i)}, [not x for x in special])
+        self.slot_code, self.slot_agrees = np.full(SLOTS, -1, "i8"), np.zeros(SLOTS, bool)
 
     def _hash(self, text: str) -> int:
         h = 0
@@ -84,53 +77,60 @@ class Pieces:
         return parts
 
     def _agrees(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether piece b may follow piece a, for arrays; a = -1 is a start."""
-        codes, at = np.unique((a + 1) * len(self.names) + b, return_inverse=True)
-        return np.array([self._pair(c) for c in codes.tolist()], bool)[at]
+        """Whether piece b may follow piece a, for arrays; a = -1 is a start. Pairs met before are in slots by hash."""
+        codes = (a + 1) * len(self.names) + b
+        slot = ((codes.astype("u8") * _BASE) >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype("i8")
+        new = np.flatnonzero(self.slot_code[slot] != codes)
+        out = self.slot_agrees[slot]
+        if len(new):
+            some, at = np.unique(codes[new], return_inverse=True)
+            got = np.array([self._pair(c) for c in some.tolist()], bool)
+            out[new] = got[at]
+            self.slot_code[slot[new]], self.slot_agrees[slot[new]] = codes[new], out[new]
+        return out
 
     def _pair(self, code: int) -> bool:
-        got = self.agree.get(code)
-        if got is None:
-            a, b = divmod(code, len(self.names))
-            got = a == 0 or self.merge(self.names[a - 1] + self.names[b]) == [self.names[a - 1], self.names[b]]
-            if len(self.agree) > 8 * MEMORY:
-                self.agree.clear()
-            self.agree[code] = got
-        return got
-
-    def _lookup(self, hashes: np.ndarray) -> np.ndarray:
+        a, b = divmod(code, len(self.names))
+        return a == 0 or self.merge(self.names[a - 1] + self.names[b]) == [self.names[a - 1], self.names[b]]
+
+    def _lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places whose hash is a piece's, ids). A bitmap of the hashes' top bits spares most searches."""
+        some = np.flatnonzero(self.bitmap[hashes >> np.uint64(44)])
+        hashes = hashes[some]
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
+        hit = self.keys[at] == hashes
+        return some[hit], self.ids[at[hit]]
 
     def viterbi(self, units: list[str]) -> list[tuple[int, ...]]:
         """Ids of units of one length; all their characters are pieces."""
         m, n = len(units), len(units[0])
-        chars = np.array([list(map(ord, u)) for u in units], "u8").reshape(m, n)
-        prefix = np.zeros((m, n + 1), "u8")
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").reshape(m, n).astype("u8").T + np.uint64(1)
+        prefix = np.zeros((n + 1, m), "u8")
         for j in range(n):
-            prefix[:, j + 1] = prefix[:, j] * _BASE + chars[:, j] + np.uint64(1)
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, _BASE)]).astype("u8"))
-        score = np.full((m, n + 1), -np.inf, "f4")
-        score[:, 0] = 0
-        piece, back = np.full((m, n + 1), -1, "i8"), np.zeros((m, n + 1), "i4")
+            prefix[j + 1] = prefix[j] * _BASE + chars[j]
+        score = np.full((n + 1, m), -np.inf, "f4")
+        score[0] = 0
+        piece, back = np.full((n + 1, m), -1, "i4"), np.zeros((n + 1, m), "i4")
         for j in range(1, n + 1):
-            for size in range(1, min(self.longest, j) + 1):
-                ids = self._lookup(prefix[:, j] - prefix[:, j - size] * powers[size])
-                rows = np.flatnonzero((ids >= 0) & (score[:, j - size] > -np.inf))
-                if not len(rows):
+            rest, here = np.arange(m), prefix[j]  # rows without a path to here: no two last pieces agree with what is before them
+            for size in range(min(self.longest, j), 0, -1):
+                own, ids = self._lookup(here - prefix[j - size][rest] * self.powers[size])
+                if not len(own):
                     continue
-                step = np.where(self._agrees(piece[rows, j - size], ids[rows]), score[rows, j - size] - 1, -np.inf)
-                better = step > score[rows, j]
-                rows, step = rows[better], step[better]
-                score[rows, j], piece[rows, j], back[rows, j] = step, ids[rows], size
-        out = []
-        for r in range(m):
-            j, path = n, []
-            while j:
-                path.append(int(piece[r, j]))
-                j -= int(back[r, j])
-            out.append(tuple(reversed(path)))
-        return out
+                rows = rest[own]
+                step = np.where(self._agrees(piece[j - size][rows], ids), score[j - size][rows] - 1, -np.inf)
+                better = step > score[j][rows]
+                rows = rows[better]
+                score[j][rows], piece[j][rows], back[j][rows] = step[better], ids[better], size
+                open_ = score[j][rest] == -np.inf
+                rest, here = rest[open_], here[open_]
+                if not len(rest):
+                    break
+        at, path, r = np.full(m, n), [], np.arange(m)
+        while at.any():
+            path.append(np.where(at > 0, piece[at, r], -1))
+            at = at - back[at, r]
+        return [tuple(x[k:]) if (k := x.count(-1)) else tuple(x) for x in np.stack(path[::-1], 1).tolist()]
 
     def _long(self, unit: str) -> tuple[int, ...]:
         """The same recurrence for one unit of any length."""
@@ -165,48 +165,67 @@ class Pieces:
         yield unit[at:]
 
     def learn(self, units: set[str]) -> dict[str, tuple[int, ...]]:
-        split = {u: list(self.runs(u)) for u in units}
-        new = {r for runs in split.values() for r in runs if r not in self.known}
+        plain = {u for u in units if len(u) <= LONG and self.single.issuperset(u)}
+        split = {u: list(self.runs(u)) for u in units - plain}
+        new = plain | {r for runs in split.values() for r in runs if r not in self.known}
         done = {r: tuple(self.byte_ids[b] for b in r.encode()) for r in new if len(r) == 1 and r not in self.single}
         done |= {r: self._long(r) for r in new if len(r) > LONG}
         by_size: dict[int, list[str]] = {}
-        for r in sorted(new - done.keys()):
+        for r in new - done.keys():
             by_size.setdefault(len(r), []).append(r)
         for same in by_size.values():
             for at in range(0, len(same), ROWS):
-                done |= dict(zip(same[at : at + ROWS], self.viterbi(same[at : at + ROWS]), strict=True))
+                done.update(zip(same[at : at + ROWS], self.viterbi(same[at : at + ROWS]), strict=True))
         get = lambda r: done[r] if r in done else self.known[r]
-        return done | {u: tuple(x for r in runs for x in get(r)) for u, runs in split.items()}
+        whole = {u: tuple(x for r in runs for x in get(r)) for u, runs in split.items()}
+        done.update(whole)
+        return done
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         units = [_UNIT.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
-        new = {u for us in units for u in us if u not in self.known}
+        every = set(chain.from_iterable(units))
+        new = every.difference(self.known)
         if len(self.known) + len(new) > MEMORY:
-            self.known = {}
-            new = {u for us in units for u in us}
-        self.known |= self.learn(new)
+            self.known, new = {}, every
+        self.known.update(self.learn(new))
         get = self.known.__getitem__
-        return [np.array([i for u in us for i in get(u)], "i4") for us in units]
+        return [np.fromiter(chain.from_iterable(map(get, us)), "i4") for us in units]
 
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface
         return b"".join([surface[i] for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Pieces:
-    return Pieces.load(path)
+def load(path: str) -> dict:
+    """What Pieces is made from, read by the driver: plain values, as many as the vocabulary has."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    if sp.decode(sp.encode("  a  b ")) != "  a  b ":
+        raise ValueError("the model's normalisation isn't the identity with a blank in front")
+    n = range(sp.get_piece_size())
+    names = [sp.id_to_piece(i) for i in n]
+    special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in n]
+    return {"names": names, "scores": [sp.get_score(i) for i in n], "byte_ids": {int(names[i][3:5], 16): i for i in n if sp.is_byte(i)}, "normal": [not x for x in special]}
+
+
+def at_worker(value) -> Pieces:
+    """The model of a broadcast, made once in each worker: it remembers units from task to task."""
+    kept = sys.modules.setdefault("_blockstrata_worker", ModuleType("_blockstrata_worker")).__dict__
+    if kept.get("made_from") is not value.value:
+        kept["made_from"], kept["model"] = value.value, Pieces(**value.value)
+    return kept["model"]
 
 
-def _coded(docs: DataFrame, pieces: Pieces, text_col: str, keep: list[str], ids: bool) -> DataFrame:
+def _coded(docs: DataFrame, pieces: dict, text_col: str, keep: list[str], ids: bool) -> DataFrame:
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     value = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary: its size doesn't grow with the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = value.value
+        model = at_worker(value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 got = model.encode(texts)
                 n = pa.array([len(x) for x in got], pa.int64())
@@ -240,7 +259,7 @@ def decode_documents(coded: DataFrame, model: str, *, keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if x.as_py() is None else value.value.decode(np.array(x.as_py(), "i4")) for x in b.column(b.num_columns - 1)]
+            texts = [None if x.as_py() is None else at_worker(value).decode(np.array(x.as_py(), "i4")) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
     kinds = [f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in keep]
