@@ -137,4 +137,6 @@ def keep_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     slim = settle(with_counts(docs.select(id_col, text_col, stratum_col), text_col).drop(text_col), "counts")
     cuts = cutoffs(slim, labels, id_col, stratum_col)
     packed = docs.select(F.col(text_col).alias("_text"), F.col(stratum_col).alias("_lang"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return _judged(with_counts(packed, "_text"), cuts, "_lang").where("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    # A generated column: a filter on the verdict itself would move down and repeat all the counting in each of its terms.
+    judged = _judged(with_counts(packed, "_text"), cuts, "_lang").select("_row", F.explode(F.array("kept")).alias("_stays"))
+    return judged.where("_stays").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
