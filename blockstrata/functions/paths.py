@@ -31,7 +31,7 @@ def glob_regex(pattern: str) -> str:
             continue
         close = pattern.find("]", i + 2) if c == "[" else -1
         if close > 0:
-            body = pattern[i + 1 : close].replace("\\", "\\\\")
+            body = re.sub(r"([\\\[&])", r"\\\1", pattern[i + 1 : close])  # Java gives these a meaning in sets
             out.append(f"[{'^' + body[1:] if body[0] == '!' else body}]")
             i = close + 1
             continue

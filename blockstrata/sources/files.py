@@ -13,6 +13,17 @@ from blockstrata.functions.paths import matches, safe_key
 SCHEMA = "key string, content binary"
 
 
+def open_store(root: str):
+    """(file system, path in it) of a folder, for tasks that read or write files themselves."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if "://" in root and not root.startswith("file:"):
+        return fs.FileSystem.from_uri(quote(root, safe=":/@"))
+    return fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/") if root.startswith(("file:", "/")) else root
+
+
 def _key(root: str):
     """The path below a root, without reading it as a pattern."""
     tail = root.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
@@ -48,12 +59,8 @@ def lookup(entries: DataFrame, keys: list[str]) -> DataFrame:
 def put(entries: DataFrame, root: str) -> int:
     """Write key and content below ``root``, whatever was there; number of files. Executors write in parallel;
     a file that a repeated task writes again has the same content."""
-    uri = root if "://" in root else f"file://{root}"
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(uri)
+        store, base = open_store(root)
         for batch in batches:
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 path = f"{base}/{key}"

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+from blockstrata.sources.files import open_store
 from blockstrata.sources.region import SIDE, read_region
 
 _NAME = re.compile(r"(?:^|/)r\.(-?\d+)\.(-?\d+)\.mca$")
@@ -36,7 +37,7 @@ class RegionReader(DataSourceReader):
     def partitions(self) -> list[RegionFile]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
+        store, base = open_store(self.root)
         out = []
         for info in store.get_file_info(fs.FileSelector(base, recursive=True)):
             m = _NAME.search(info.path)
@@ -45,9 +46,7 @@ class RegionReader(DataSourceReader):
         return out
 
     def read(self, partition: RegionFile) -> Iterator[tuple]:
-        from pyarrow import fs
-
-        store, _ = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
+        store, _ = open_store(self.root)
         with store.open_input_file(partition.path) as f:
             region = read_region(f.read(), partition.x, partition.z)
         for x, z, raw in region.chunks if region else []:
