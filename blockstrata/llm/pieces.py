@@ -28,7 +28,7 @@ BLANK = "▁"
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units that a worker remembers, slots for pairs of pieces, rows of one matrix; longer units go one by one.
-MEMORY, SLOTS, ROWS, LONG = 400_000, 1 << 21, 8192, 200
+MEMORY, SLOTS, ROWS, LONG = 200_000, 1 << 20, 8192, 200
 
 
 class Pieces:
@@ -186,7 +186,7 @@ class Pieces:
         every = set(chain.from_iterable(units))
         new = every.difference(self.known)
         if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, every
+            self.known = {u: self.known[u] for u in every if u in self.known}  # what is common is in any batch
         self.known.update(self.learn(new))
         get = self.known.__getitem__
         return [np.fromiter(chain.from_iterable(map(get, us)), "i4") for us in units]
