@@ -6,6 +6,10 @@ as they are) are anchors. Some point halfway between two members differs from ei
 the anchor next to it lies within radius + 1 of both: the threshold of two bits is borne by both sides, one
 bit each. So every fingerprint is replicated to all anchors within 1 + 1 bits, 15 or 16 a part, and all links
 meet at an anchor. Equal fingerprints travel once.
+
+That bound is on bits. For a bound on the similarity of the texts, where fingerprints differ in many bits,
+similar_dups() has wide ones: two words decide, four others give parts for anchors. A part of 32 bits is
+near enough in some place much more often than the whole fingerprint is.
 """
 
 from __future__ import annotations
@@ -28,40 +32,48 @@ CHUNK, LARGE = 200_000, 2048
 # -- fingerprints ------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, k: int) -> int:
-    """Majority bits of the XXH64 values of k-word shingles, lower-cased in A to Z; no words: 0."""
+def fingerprint(text: str | None, k: int, lanes: int = 1) -> list[int]:
+    """Majority bits of the XXH64 values of k-word shingles, lower-cased in A to Z; no words: 0. Lanes beyond the
+    first are majorities of values mixed from these."""
     import xxhash
 
     words = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
     if not words:
-        return 0
+        return [0] * lanes
     joined, count = b" ".join(words), max(1, len(words) - k + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:count]
-    ends, ones, digest = ends[min(k, len(words)) - 1 :], np.zeros(64, "i8"), xxhash.xxh64_intdigest
+    ends, ones, digest = ends[min(k, len(words)) - 1 :], np.zeros((lanes, 64), "i8"), xxhash.xxh64_intdigest
     for at in range(0, count, 65536):
         cut = [joined[a:b] for a, b in zip(starts[at : at + 65536].tolist(), ends[at : at + 65536].tolist(), strict=True)]
         h = np.array([digest(s, SEED) for s in cut], "<u8")
-        if len(h) < 256:
-            ones += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
-        else:
-            ones += np.concatenate([np.bincount(b, minlength=256) @ _BITS for b in h.view("u1").reshape(-1, 8).T])
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
-
-
+        for lane in range(lanes):
+            if lane:
+                h = (h ^ (h >> np.uint64(31))) * _MIX
+                h ^= h >> np.uint64(29)
+            octets = h.view("u1").reshape(-1, 8)
+            if len(h) < 256:
+                ones[lane] += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype="i8")
+            else:
+                ones[lane] += np.concatenate([np.bincount(b, minlength=256) @ _BITS for b in octets.T])
+    return np.packbits(2 * ones > count, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype("i8")
 
 
-def fingerprints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """_id and _fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, k: int, id_col: str, text_col: str, lanes: int = 1) -> DataFrame:
+    """_id and _fp, _fp1, ... (64 bits each, as signed longs)."""
+    names = ["_fp", *[f"_fp{i}" for i in range(1, lanes)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), k) for t in batch.column(1)], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["_id", "_fp"])
+            fps = np.array([fingerprint(t.as_py(), k, lanes) for t in batch.column(1)], "u8").reshape(-1, lanes).view("i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, i].copy()) for i in range(lanes)]], ["_id", *names])
 
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _fp bigint")
+    return slim.mapInArrow(run, ", ".join([f"_id {slim.schema['_id'].dataType.simpleString()}", *[f"{n} bigint" for n in names]]))
 
 
 # -- anchors -----------------------------------------------------------------------------------------------------
@@ -85,17 +97,17 @@ def masks(width: int, m: int) -> list[list[int]]:
     return out
 
 
-def anchors(fp: Column, bits: int) -> Column:
-    """Keys of all anchors that a fingerprint is replicated to: part in the top bits, anchor below."""
+def anchors(fp: Column, bits: int, base: int = 0) -> Column:
+    """Keys of all anchors that a fingerprint is replicated to: number of the part in the top bits, anchor below."""
     keys = []
-    for p, (first, width, m) in enumerate(parts(bits)):
+    for p, (first, width, m) in enumerate(parts(bits), base):
         part = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
         syndrome = F.lit(0)
         for b in range(m):
             odd = sum(1 << (i - 1) for i in range(1, 2**m) if i >> b & 1)
             syndrome = syndrome + F.bit_count(part.bitwiseAND(F.lit(odd))) % 2 * (1 << b)
         table = F.array(*[F.array(*[F.lit(x - 2**64 if x >= 2**63 else x).cast("long") for x in row]) for row in masks(width, m)])
-        top = F.lit(p).cast("long") * (1 << 60) if width < 60 else F.lit(0).cast("long")
+        top = F.lit(p).cast("long") * (1 << 59) if width < 59 else F.lit(0).cast("long")
         keys.append(_moved(F.get(table, syndrome.cast("int")), part, top))
     return F.concat(*keys)
 
@@ -105,27 +117,24 @@ def _moved(by: Column, part: Column, top: Column) -> Column:
 
 
 def _close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= bits
+    """The last axis has the words of a fingerprint."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype="i4") <= bits
 
 
 def _links(fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of close fingerprints among those of one anchor, block by block. A large set is split by
-    bits + 1 blocks of the 64 bits, of which one is equal in any close pair."""
-    n = len(fps)
-    if n <= LARGE:
-        i, j = np.nonzero(np.triu(_close(fps[:, None], fps[None, :], bits), 1))
-        yield i, j
-        return
-    cuts = [64 * i // (bits + 1) for i in range(bits + 2)]
+    """Index pairs of close fingerprints among those of one anchor, block by block. A large set of short
+    fingerprints is split by bits + 1 blocks of the 64 bits, of which one is equal in any close pair."""
+    n, step = len(fps), LARGE // 2
+    cuts = [64 * i // (bits + 1) for i in range(bits + 2)] if n > LARGE and fps.shape[1] == 1 and bits < 16 else [0, 0]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        key = (fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+        key = (fps[:, 0] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
         order = np.argsort(key, kind="stable")
         at = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] + np.uint64(1)))
         for lo, hi in zip(at, [*at[1:], n], strict=True):
             own = order[lo:hi]
-            for x in range(0, len(own), LARGE):
-                for y in range(x, len(own), LARGE):
-                    i, j = np.nonzero(_close(fps[own[x : x + LARGE], None], fps[None, own[y : y + LARGE]], bits))
+            for x in range(0, len(own), step):
+                for y in range(x, len(own), step):
+                    i, j = np.nonzero(_close(fps[own[x : x + step], None], fps[None, own[y : y + step]], bits))
                     yield own[x + i], own[y + j]
 
 
@@ -148,21 +157,21 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(key: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by anchor, as stars. Short runs are compared at once by shifting the rows."""
+    """Links among rows sorted by anchor, as stars of first words. Short runs are compared at once by shifting the rows."""
     at = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
     size = np.diff(at, append=len(key))
     short = np.repeat(size <= 32, size)
-    found_a, found_b = [fps[:0]], [fps[:0]]
+    found_a, found_b = [fps[:0, 0]], [fps[:0, 0]]
     for shift in range(1, min(32, int(size.max()))):
         i = np.flatnonzero((key[shift:] == key[:-shift]) & short[shift:])
         i = i[_close(fps[i], fps[i + shift], bits)]
-        found_a.append(fps[i])
-        found_b.append(fps[i + shift])
+        found_a.append(fps[i, 0])
+        found_b.append(fps[i + shift, 0])
     for lo, n in zip(at[size > 32], size[size > 32], strict=True):
         own = fps[lo : lo + n]
         for i, j in _links(own, bits):
             # Only a forest of each block is kept: links never pile up as all pairs of a group.
-            a, b = _forest(own[i], own[j])
+            a, b = _forest(own[i, 0], own[j, 0])
             found_a.append(a)
             found_b.append(b)
     return _forest(np.concatenate(found_a), np.concatenate(found_b))
@@ -174,12 +183,13 @@ def _per_anchor(bits: int):
 
         def done(key: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(key) > 1:
-                a, b = _compare(key, fps.view("u8"), bits)
+                a, b = _compare(key, fps, bits)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array(b.view("i8"))], ["a", "b"])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+            words = [c.to_numpy(zero_copy_only=False).view("u8") for c in batch.columns[1:]]
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), np.stack(words, 1)))
             rows += batch.num_rows
             if rows < CHUNK:
                 continue
@@ -202,20 +212,45 @@ def near_dups(docs: DataFrame, *, shingle: int = 5, bits: int = 5, id_col: str =
     an empty result; other columns play no part.
     """
     rows = settle(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    groups = rows.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    spread = groups.select(F.explode(anchors(F.col("_fp"), bits)).alias("key"), F.col("_fp").alias("fp"))
+    spread = rows.select("_fp").distinct().select(F.explode(anchors(F.col("_fp"), bits)).alias("key"), "_fp")
+    return _classes(rows, spread, bits, id_col)
+
+
+def _classes(rows: DataFrame, spread: DataFrame, bits: int, id_col: str) -> DataFrame:
+    """``spread``: key and the words that decide; the first of them stands for all rows that have it."""
     edges = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_per_anchor(bits), "a bigint, b bigint")
     roots = components(edges)
+    groups = rows.groupBy("_fp").agg(F.min("_id").alias("_least"))
     rooted = groups.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = settle(rooted.join(least, "_root").select("_fp", "component_id"), "classes")
     return rows.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_dups(docs: DataFrame, **how) -> DataFrame:
+#: Of a wide fingerprint: words that decide, words that give anchors, and in how many bits the former may differ.
+#: At a similarity of 0.8 of five-word shingles, 128 bits differ in 17 on average; at 0.7, in 25.
+DECIDE, REACH, WIDE_BITS = 2, 4, 21
+
+
+def similar_dups(docs: DataFrame, *, shingle: int = 5, bits: int = WIDE_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As near_dups(), for texts whose shingles are similar to 0.8 or more, by wide fingerprints.
+
+    Two texts are linked if their deciding words differ in ``bits`` bits at most and one of eight 32-bit parts of
+    the other words differs in two at most. All that differ in 23 or fewer of these 256 bits meet at an anchor;
+    of pairs at a similarity of 0.8 about four in five do, of those at 0.9 nearly all.
+    """
+    rows = settle(fingerprints(docs, shingle, id_col, text_col, DECIDE + REACH), "fingerprints")
+    words = [f"_fp{i}" for i in range(DECIDE, DECIDE + REACH)]
+    keys = F.concat(*[anchors(F.col(w), 4, 2 * i) for i, w in enumerate(words)])
+    spread = rows.drop("_id").distinct().select(F.explode(keys).alias("key"), "_fp", "_fp1")
+    return _classes(rows, spread, bits, id_col)
+
+
+def drop_near_dups(docs: DataFrame, find=similar_dups, **how) -> DataFrame:
     """One row of each component stays, that with the least id; of repeated rows with that id, one."""
     id_col = how.get("id_col", "doc_id")
-    found = near_dups(docs, **how)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    found = find(docs, **how)
+    name = max(docs.columns, key=len) + "_"  # no column of docs has it
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
+    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     return kept.dropDuplicates([id_col])

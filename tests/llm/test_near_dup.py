@@ -50,7 +50,7 @@ def test_crowded_anchor(monkeypatch):
     rng = np.random.default_rng(1)
     fps = np.unique(rng.integers(0, 2**12, 900, dtype="u8") << np.uint64(40))
     monkeypatch.setattr(near_dup, "LARGE", 64)
-    a, b = near_dup._compare(np.zeros(len(fps), "i8"), fps, 2)
+    a, b = near_dup._compare(np.zeros(len(fps), "i8"), fps[:, None], 2)
     root = {int(f): int(f) for f in fps}
     root |= dict(zip(a.tolist(), b.tolist(), strict=True))
     want = brute_components(fps.tolist(), fps.tolist(), 2)
@@ -65,8 +65,8 @@ def test_messy(spark, messy, empty):
     by = {r["doc_id"]: r for r in rows}
     assert {by[i]["component_id"] for i in (0, 2, 3, 5)} == {0} and by[0]["fingerprint"] == "0" * 16
     assert by[4]["component_id"] == by[1]["component_id"] == 1 and by[7]["component_id"] == 6 and by[None]["component_id"] is None
-    assert near_dup.near_dups(empty).count() == 0
-    kept = near_dup.drop_near_dups(messy, shingle=4, bits=4)
+    assert near_dup.near_dups(empty).count() == near_dup.similar_dups(empty).count() == 0
+    kept = near_dup.drop_near_dups(messy)
     assert kept.columns == messy.columns
     assert sorted((r[0] is None, r[0] or 0) for r in kept.select("doc_id").collect()) == [(False, i) for i in (-12, 0, 1, 6, 8, 9, 10, 11)] + [(True, 0)]
 
@@ -76,3 +76,26 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100, 103: 100}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_similar_texts(spark):
+    """Edited copies at several similarities, among unrelated texts."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, share = [], {}
+    for i in range(400):
+        text = [word() for _ in range(400)]
+        edits = (2, 5, 8, 60)[i % 4]
+        copy = list(text)
+        for at in rng.sample(range(400), edits):
+            copy[at] = word()
+        grams = [{tuple(t[k : k + 5]) for k in range(396)} for t in (text, copy)]
+        share[i] = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.similar_dups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    linked = {i: got[2 * i + 1] == 2 * i for i in share}
+    assert all(got[2 * i] == 2 * i for i in share) and all(got[2 * i + 1] in (2 * i, 2 * i + 1) for i in share)
+    rate = lambda lo, hi: (lambda v: sum(v) / len(v))([linked[i] for i, s in share.items() if lo <= s < hi])
+    assert rate(0.93, 1) > 0.97 and rate(0.86, 0.93) > 0.85 and rate(0.8, 0.86) > 0.55 and rate(0, 0.6) == 0
