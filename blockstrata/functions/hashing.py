@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +19,21 @@ def blob_oid(content: Column) -> Column:
     return object_oid("blob", content.cast("binary"))
 
 
-def tree_oid(entries: Column) -> Column:
-    """From an array of struct(name, oid, is_dir). Git sorts by bytes, a directory as if its name ended in a slash."""
+def tree_body(entries: Column) -> Column:
+    """A tree's content from an array of struct(name, oid, is_dir). Git sorts by bytes, a directory as if its name ended in a slash."""
     keyed = F.transform(entries, lambda e: F.struct(F.encode(F.concat(e["name"], F.when(e["is_dir"], "/").otherwise("")), "UTF-8").alias("k"), e.alias("e")))
     line = lambda x: F.concat(
         F.encode(F.concat(F.when(x["e"]["is_dir"], "40000 ").otherwise("100644 "), x["e"]["name"], F.chr(F.lit(0))), "UTF-8"), F.unhex(x["e"]["oid"])
     )
-    hexed = F.array_join(F.transform(F.sort_array(keyed), lambda x: F.hex(line(x))), "")
-    return object_oid("tree", F.unhex(hexed))
+    return F.unhex(F.array_join(F.transform(F.sort_array(keyed), lambda x: F.hex(line(x))), ""))
 
 
-def root_trees(entries: DataFrame, by: list[str]) -> DataFrame:
-    """``by`` and tree_oid of the root: one aggregate per level of directories, deepest first.
+def tree_oid(entries: Column) -> Column:
+    return object_oid("tree", tree_body(entries))
+
+
+def trees_by_level(entries: DataFrame, by: list[str]) -> Iterator[DataFrame]:
+    """``by``, dir, oid and body of all directories: an aggregate per level, the deepest first, the root last.
 
     ``entries`` has ``by``, path and oid. All directories of a level are built at once; the number of rounds is
     the depth of the deepest path.
@@ -38,19 +43,29 @@ def root_trees(entries: DataFrame, by: list[str]) -> DataFrame:
     depth = level.agg(F.max(F.size("dir"))).first()[0] or 0
     for d in range(depth, -1, -1):
         here = F.size("dir") == d
-        trees = level.where(here).groupBy(*by, "dir").agg(tree_oid(F.collect_list(F.struct("name", "oid", "is_dir"))).alias("oid"))
-        if d == 0:
-            return trees.select(*by, F.col("oid").alias("tree_oid"))
-        up = trees.select(*by, F.slice("dir", 1, d - 1).alias("dir"), F.element_at("dir", -1).alias("name"), "oid", F.lit(True).alias("is_dir"))
-        level = level.where(~here).unionByName(up)
-    raise AssertionError
+        trees = level.where(here).groupBy(*by, "dir").agg(tree_body(F.collect_list(F.struct("name", "oid", "is_dir"))).alias("body"))
+        trees = trees.withColumn("oid", object_oid("tree", F.col("body")))
+        yield trees
+        if d:
+            up = trees.select(*by, F.slice("dir", 1, d - 1).alias("dir"), F.element_at("dir", -1).alias("name"), "oid", F.lit(True).alias("is_dir"))
+            level = level.where(~here).unionByName(up)
 
 
-def commit_oid(tree: Column, parents: Column, author: Column, seconds: Column, message: Column) -> Column:
+def root_trees(entries: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and tree_oid of the root."""
+    *_, root = trees_by_level(entries, by)
+    return root.select(*by, F.col("oid").alias("tree_oid"))
+
+
+def commit_body(tree: Column, parents: Column, author: Column, seconds: Column, message: Column) -> Column:
     """``author``: Name <mail>; times are in UTC."""
     stamp = F.concat(author, F.lit(" "), seconds.cast("string"), F.lit(" +0000\n"))
     body = F.concat(
         F.lit("tree "), tree, F.lit("\n"), F.array_join(F.transform(parents, lambda p: F.concat(F.lit("parent "), p, F.lit("\n"))), ""),
         F.lit("author "), stamp, F.lit("committer "), stamp, F.lit("\n"), message, F.lit("\n"),
     )
-    return object_oid("commit", F.encode(body, "UTF-8"))
+    return F.encode(body, "UTF-8")
+
+
+def commit_oid(tree: Column, parents: Column, author: Column, seconds: Column, message: Column) -> Column:
+    return object_oid("commit", commit_body(tree, parents, author, seconds, message))

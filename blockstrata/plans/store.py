@@ -172,6 +172,25 @@ def checkout_folder(store: Store, commit: str, save: str, registry) -> int:
     return put(unflatten(store.entries(commit), registry), save)
 
 
+def bak_of(path: str) -> str:
+    """Where a save is set aside: its last suffix, if it has one, becomes .bak."""
+    folder, slash, name = path.rstrip("/").rpartition("/")
+    stem, dot, _ = name.rpartition(".")
+    return f"{folder}{slash}{stem if dot and stem else name}.bak"
+
+
+def set_aside(spark: SparkSession, path: str) -> bool:
+    """Rename a folder that is there to its .bak; an earlier one is never overwritten. Whether there was any."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at, to = jvm.Path(path), jvm.Path(bak_of(path))
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(at):
+        return False
+    if fs.exists(to):
+        raise FileExistsError(bak_of(path))
+    return bool(fs.rename(at, to))
+
+
 def git_dir_of(save_dir: Column) -> Column:
     """Where a save's backups are: ../../backups/{name}.git."""
     clean = F.regexp_replace(save_dir, "[/\\\\]+$", "")

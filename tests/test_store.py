@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from blockstrata.operators.registry import Registry
 from blockstrata.plans import history
-from blockstrata.plans.store import Store, checkout_folder, commit_folder, git_dir_of
+from blockstrata.plans.store import Store, bak_of, checkout_folder, commit_folder, git_dir_of, set_aside
 from blockstrata.sources import files, profiles
 
 
@@ -91,3 +91,54 @@ def test_small_answers(spark):
     df = spark.createDataFrame([("/home/x/saves/World", 0.0, 5.0)], "s string, a double, b double")
     row = df.select(git_dir_of(F.col("s")).alias("g"), history.growth(F.col("a"), F.col("b")).alias("p")).first()
     assert row["g"] == "/home/x/backups/World.git" and row["p"] is None
+
+
+def test_set_aside(spark, tmp_path):
+    assert [bak_of(p) for p in ("/s/World", "/s/A.b", "/s/.x/", "w")] == ["/s/World.bak", "/s/A.bak", "/s/.x.bak", "w.bak"]
+    assert not set_aside(spark, str(tmp_path / "w"))
+    (tmp_path / "w").mkdir()
+    assert set_aside(spark, str(tmp_path / "w")) and (tmp_path / "w.bak").is_dir()
+    (tmp_path / "w").mkdir()
+    with pytest.raises(FileExistsError):
+        set_aside(spark, str(tmp_path / "w"))
+
+
+def test_git(spark, store, tmp_path):
+    from blockstrata.sources import git_objects
+
+    bare = str(tmp_path / "r.git")
+    assert not git_objects.exists(bare)
+    t = datetime(2024, 1, 1, tzinfo=UTC)
+    first = {"foo/x": b"1", "foo.a": b"2", "deep/er/é": b"3" * 1000}
+    one = store.commit(_e(spark, first), "one", init=True, ts=t)
+    assert git_objects.export(store, "main", bare) == one
+    two = store.commit(_e(spark, {"b/z.md": b"4"}), "two", ts=t)
+    git_objects.export(store, "main", bare)
+    git_objects.git(bare, "fsck", "--strict")
+    assert git_objects.git(bare, "rev-list", "main").decode().split() == [two, one]
+    assert {r["key"]: bytes(r["content"]) for r in git_objects.entries(spark, bare, one).collect()} == first
+    assert [r["path"] for r in git_objects.listing(spark, bare, "main").collect()] == ["b/z.md"]
+    with pytest.raises(RuntimeError, match="ls-tree"):
+        git_objects.listing(spark, bare, "nope")
+
+
+def test_command_line(spark, tmp_path, capsysbinary):
+    from blockstrata.__main__ import main
+    from tests.test_codecs import REGISTRY, _save
+
+    (tmp_path / "reg.json").write_text(REGISTRY)
+    save, reg, at = str(tmp_path / "save"), ["--registry", str(tmp_path / "reg.json")], str(tmp_path / "store2")
+    files.put(_e(spark, {k: v for k, v in _save().items() if v}), save)
+    main(["commit", save, at, "-m", "first", "--init", *reg])
+    main(["checkout", at, "main", save, *reg])
+    assert (tmp_path / "save.bak").is_dir() and (tmp_path / "save/w/region/r.-1.0.mca").is_file()
+    main(["log", at])
+    main(["flatten", save, str(tmp_path / "flat"), *reg])
+    main(["unflatten", str(tmp_path / "flat"), str(tmp_path / "again"), *reg])
+    main(["repack", at, str(tmp_path / "small")])
+    said = capsysbinary.readouterr().out
+    assert b"first" in said and b"11 objects" in said
+    main(["section", f"{save}/w/region/r.-1.0.mca", "-32", "0", "-3", *reg])
+    assert len(capsysbinary.readouterr().out) == 8192
+    main(["chunk", f"{save}/w/region/r.-1.0.mca", "-32", "0"])
+    assert capsysbinary.readouterr().out.startswith(b"\n\0\0")
