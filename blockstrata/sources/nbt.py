@@ -45,6 +45,9 @@ class _Reader:
             n = self.number(INT)
             if of == 0 and n > 0:
                 raise ValueError("a list of nothing has items")
+            if of in _FIXED and n > 0:
+                row = f">{n}{_FIXED[of][1]}"
+                return of, list(struct.unpack(row, self.take(struct.calcsize(row))))
             return of, [self.value(of) for _ in range(n)]
         if kind == COMPOUND:
             out = []
@@ -73,6 +76,9 @@ def _write(kind: int, value: Any, out: list[bytes]) -> None:
     elif kind == LIST:
         of, items = value
         out += [bytes([of]), len(items).to_bytes(4)]
+        if of in _FIXED:
+            out.append(struct.pack(f">{len(items)}{_FIXED[of][1]}", *items))
+            return
         for x in items:
             _write(of, x, out)
     else:
