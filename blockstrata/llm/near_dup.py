@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from blockstrata.llm.components import components
 from blockstrata.llm.store import settle
+from blockstrata.llm.workers import tidy
 
 SEED = 42
 #: Rows that a task compares at once, and the size above which one anchor's rows are split further.
@@ -200,6 +201,8 @@ def _per_anchor(bits: int):
             held, rows = [(key[last:], fps[last:])], 0 if last else rows
         if held:
             yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        tidy()
 
     return run
 

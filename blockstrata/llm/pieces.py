@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockstrata.llm.workers import tidy
+
 BLANK = "▁"
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -210,7 +212,7 @@ def load(path: str) -> dict:
 
 
 def at_worker(value) -> Pieces:
-    """The model of a broadcast, made once in each worker: it remembers units from task to task."""
+    """The model of a broadcast, made once in each worker. Pairs of pieces are remembered from task to task."""
     kept = sys.modules.setdefault("_blockstrata_worker", ModuleType("_blockstrata_worker")).__dict__
     if kept.get("made_from") is not value.value:
         kept["made_from"], kept["model"] = value.value, Pieces(**value.value)
@@ -235,6 +237,8 @@ def _coded(docs: DataFrame, pieces: dict, text_col: str, keep: list[str], ids: b
                 else:
                     last = pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in got])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], n, ok, last], [*keep, "n_pieces", "round_trip", "ids" if ids else "ids_sha256"])
+        model.known = {}
+        tidy()
 
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join([*kinds, "n_pieces bigint", "round_trip boolean", "ids array<int>" if ids else "ids_sha256 string"]))
 
