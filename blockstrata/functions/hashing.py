@@ -39,16 +39,16 @@ def trees_by_level(entries: DataFrame, by: list[str]) -> Iterator[DataFrame]:
     the depth of the deepest path.
     """
     parts = F.split("path", "/")
-    level = entries.select(*by, F.slice(parts, 1, F.size(parts) - 1).alias("dir"), F.element_at(parts, -1).alias("name"), "oid", F.lit(False).alias("is_dir"))
-    depth = level.agg(F.max(F.size("dir"))).first()[0] or 0
+    files = entries.select(*by, F.slice(parts, 1, F.size(parts) - 1).alias("dir"), F.element_at(parts, -1).alias("name"), "oid", F.lit(False).alias("is_dir"))
+    depth, up = files.agg(F.max(F.size("dir"))).first()[0] or 0, None
     for d in range(depth, -1, -1):
-        here = F.size("dir") == d
-        trees = level.where(here).groupBy(*by, "dir").agg(tree_body(F.collect_list(F.struct("name", "oid", "is_dir"))).alias("body"))
+        level = files.where(F.size("dir") == d)
+        level = level if up is None else level.unionByName(up)
+        trees = level.groupBy(*by, "dir").agg(tree_body(F.collect_list(F.struct("name", "oid", "is_dir"))).alias("body"))
         trees = trees.withColumn("oid", object_oid("tree", F.col("body")))
         yield trees
         if d:
             up = trees.select(*by, F.slice("dir", 1, d - 1).alias("dir"), F.element_at("dir", -1).alias("name"), "oid", F.lit(True).alias("is_dir"))
-            level = level.where(~here).unionByName(up)
 
 
 def root_trees(entries: DataFrame, by: list[str]) -> DataFrame:

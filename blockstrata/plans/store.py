@@ -6,6 +6,7 @@ earlier rows are its log. One writer at a time is assumed; a commit checks the r
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -92,7 +93,16 @@ class Store:
         ts = (ts or datetime.now(UTC)).replace(microsecond=0)
         staged = entries.select(safe_key(F.col("key")).alias("path"), "content", *([F.col(seq).alias("_seq")] if seq else []))
         staged = last_write(staged, "path", F.col("_seq")) if seq else staged
-        hashed = staged.select("path", blob_oid(F.col("content")).alias("oid"), "content")
+        # Contents may come from decoding whole saves: they are made once, and what follows reads them from here.
+        stage = self._path(f"_staged-{uuid.uuid4().hex}")
+        staged.select("path", blob_oid(F.col("content")).alias("oid"), "content").write.parquet(stage)
+        try:
+            return self._commit(self.spark.read.schema("path string, oid string, content binary").parquet(stage), message, branch, author, ts, parents)
+        finally:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(stage)
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def _commit(self, hashed: DataFrame, message: str, branch: str | None, author: str, ts: datetime, parents: list[str]) -> str:
         known = self.table("blobs").select("oid")
         new = hashed.join(known, "oid", "left_anti").groupBy("oid").agg(F.first("content").alias("content"))
         new.select("oid", F.octet_length("content").cast("long").alias("size"), "content").write.mode("append").parquet(self._path("blobs"))
