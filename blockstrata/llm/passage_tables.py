@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from blockstrata.llm.passages import Segments
 from blockstrata.llm.store import settle
+from blockstrata.llm.workers import tidy
 
 #: Bytes that a task hashes at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: An anchor with more distinct segments than this is split by what surrounds it: FINE windows at a time.
 CROWD, FINE = 4096, 8
 
@@ -62,6 +63,7 @@ def found_segments(rows: DataFrame, kind, combine: bool) -> DataFrame:
             start, windows, at, anchor, digest = rest
             columns = [u1[doc], u2[doc], start.astype("i4"), windows.astype("i4"), at.astype("i4"), anchor.view("i8"), digest.view("i8"), n]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _FOUND.split(", ")])
+        tidy()
 
     return rows.mapInArrow(run, _FOUND)
 

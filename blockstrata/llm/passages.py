@@ -58,6 +58,12 @@ def span_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((prefix[hi] - prefix[lo]) * down[lo] + _B * (hi - lo).astype("u8"))
 
 
+def _places(n: int) -> np.ndarray:
+    if len(_powers.get("at", ())) < n:
+        _powers["at"] = np.arange(max(n, 1 << 20), dtype="u8")
+    return _powers["at"][:n]
+
+
 def _least(v: np.ndarray, w: int) -> np.ndarray:
     """Least of each w neighbours."""
     span = 1
@@ -74,15 +80,21 @@ def segments(units: np.ndarray, starts: np.ndarray, length: int, k: int) -> Segm
         none = np.zeros(0, "i8")
         return Segments(none, none, none, none, none.astype("u8"), none.astype("u8"))
     prefix = sums(units)
-    at = np.arange(n - k + 1)
-    h = span_hash(prefix, at, at + k)
-    low = np.uint64((1 << PLACE) - 1)
-    best = (_least((h & ~low) | at.astype("u8"), length - k + 1) & low).astype("i8")
-    doc = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
-    window = np.concatenate([[0], np.cumsum(np.maximum(sizes - length + 1, 0))])
-    start = np.arange(len(doc)) - window[doc] + starts[doc]  # windows that stay within a document
-    anchor = best[start]
-    head = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    _, down = _power(n + 1)
+    h = mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1] + np.uint64(int(_B) * k % 2**64))  # span_hash() of all strings of k units
+    best = h & ~np.uint64((1 << PLACE) - 1)
+    best |= _places(n - k + 1)
+    anchor = (_least(best, length - k + 1).astype("u4") & np.uint32((1 << PLACE) - 1)).astype("i4")
+    per = np.maximum(sizes - length + 1, 0)
+    if len(sizes) == 1:
+        doc, start = np.zeros(int(per[0]), "i4"), np.arange(int(per[0]), dtype="i4")
+    else:  # windows that stay within a document
+        doc = np.repeat(np.arange(len(sizes), dtype="i4"), per)
+        start = np.arange(len(doc), dtype="i4") + np.repeat((starts[:-1] - np.cumsum(per) + per).astype("i4"), per)
+        anchor = anchor[start]
+    new = np.ones(len(doc), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(new)
     count = np.diff(head, append=len(doc))
-    lo = start[head]
-    return Segments(doc[head], lo - starts[doc[head]], count, anchor[head] - lo, h[anchor[head]], span_hash(prefix, lo, lo + count + length - 1))
+    lo, doc, anchor = start[head].astype("i8"), doc[head].astype("i8"), anchor[head].astype("i8")
+    return Segments(doc, lo - starts[doc], count, anchor - lo, h[anchor], span_hash(prefix, lo, lo + count + length - 1))

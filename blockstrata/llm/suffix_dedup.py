@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from blockstrata.llm.passage_tables import contents, distinct_segments, found_segments, keys_of
 from blockstrata.llm.passages import Segments, segments
 from blockstrata.llm.store import discard, release, settle
+from blockstrata.llm.workers import tidy
 
 LENGTH, ANCHOR = 200, 32
 #: Bytes that a task sorts at once.
@@ -43,45 +44,58 @@ def suffix_array(sym: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndar
     word = np.zeros(n, "u8")
     for j in range(h):
         word = (word << np.uint64(9)) | padded[j : j + n]
-    sa = np.argsort(word, kind="stable").astype("i8") if n < 1 << 12 else np.argsort(word).astype("i8")
-    rank = np.empty(n, "i8")
-    sorted_ = word[sa]
+    sa = np.argsort(word).astype("i4")
+    rank = np.empty(n, "i4")
+    sorted_, place = word[sa], np.arange(n, dtype="i4")
     head = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    rank[sa] = np.maximum.accumulate(np.where(head, place, 0))
+    width = np.uint64(max(n.bit_length(), 1))
+    if 3 * int(width) > 64:
+        raise ValueError("a shard is larger than what a sort key can hold")
+    low = (np.uint64(1) << width) - np.uint64(1)
+    left = np.minimum(left, depth).astype("u1" if depth < 256 else "i4")  # small, as it is read all over
     while h < depth:
         step = min(h, depth - h)
-        lone = head & np.concatenate([head[1:], [True]])
-        slots = np.flatnonzero(~lone)
+        slots = np.flatnonzero(~(head & np.concatenate([head[1:], [True]]))).astype("i4")
         own = sa[slots]
-        alive = left[own] >= h  # a group is alive as a whole or not at all
-        slots, own = slots[alive], own[alive]
+        room = left[own]
+        alive = room >= h  # a group is alive as a whole or not at all
+        slots, own, room = slots[alive], own[alive], room[alive]
         if not len(own):
             break
-        nxt = np.where(left[own] >= h + step, rank[np.minimum(own + step, n - 1)], n)
-        key = rank[own] * (n + 1) + nxt
-        order = np.argsort(key)
-        own, key = own[order], key[order]
+        after = rank[np.minimum(own + step, n - 1)]
+        after[room < h + step] = n
+        # Group, rank of what follows, place: sorted as one number, ties by place.
+        key = rank[own].astype("u8")
+        key <<= width
+        key |= after.view("u4")
+        key <<= width
+        key |= own.view("u4")
+        key.sort()
+        own = (key & low).astype("i4")
+        key >>= width
         sa[slots] = own
         new = np.concatenate([[True], key[1:] != key[:-1]])
         head[slots] = new
         rank[own] = np.maximum.accumulate(np.where(new, slots, 0))
         h += step
-    # Equal prefixes in order of place, so that neighbours move on together.
-    group = np.cumsum(head) * (n + 1) + sa
-    group.sort()
-    return group % (n + 1), word
+    return sa.astype("i8"), word
 
 
 def common_prefixes(sa: np.ndarray, word: np.ndarray, sym: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Common prefix of each suffix in ``sa`` with the one before it, within their segments."""
-    n = len(sym)
-    before = np.full(n, -1, "i8")
+    n, sa = len(sym), sa.astype("i4")
+    before = np.full(n, -1, "i4")
     before[sa[1:]] = sa[:-1]
     head = np.ones(n, bool)
     head[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (left[:-1] == 0)
-    p = np.flatnonzero(head & (before >= 0))
-    q, size, most = before[p], np.zeros(len(p), "i8"), np.minimum(left[p], left[before[p]])
-    live = np.arange(len(p))
+    p = np.flatnonzero(head & (before >= 0)).astype("i4")
+    q, size = before[p], np.zeros(len(p), "i4")
+    most = np.minimum(left[p], left[q]).astype("i4")
+    # Most differ in their first word.
+    size[word[p] == word[q]] = 7
+    np.minimum(size, most, out=size)
+    live = np.flatnonzero((size == 7) & (size < most))
     while len(live):
         a, b = p[live] + size[live], q[live] + size[live]
         same = (word[np.minimum(a, n - 1)] == word[np.minimum(b, n - 1)]) & (size[live] < most[live])
@@ -93,10 +107,11 @@ def common_prefixes(sa: np.ndarray, word: np.ndarray, sym: np.ndarray, left: np.
         live = live[(sym[a] == sym[b]) & (size[live] < most[live])]
         size[live] += 1
         live = live[size[live] < most[live]]
-    at_head = np.zeros(n, "i8")
+    place = np.arange(n, dtype="i4")
+    at_head = np.zeros(n, "i4")
     at_head[p] = np.minimum(size, most)
-    chain = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    plcp = np.maximum(at_head[chain] - (np.arange(n) - chain), 0)
+    chain = np.maximum.accumulate(np.where(head, place, 0))
+    plcp = np.maximum(at_head[chain] - (place - chain), 0)
     plcp[before < 0] = 0
     return plcp[sa]
 
@@ -230,6 +245,7 @@ def repeated_ranges(taken: DataFrame) -> DataFrame:
         if held:
             open_.append(made(held))
         yield from told(_merged(open_))
+        tidy()
 
     placed = taken.repartition("key").sortWithinPartitions("key", "anchor", "digest", "base")
     return placed.mapInArrow(run, _RANGES)
