@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/blockstrata-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/blockstrata-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFrame:
@@ -39,14 +42,22 @@ def settle(df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFr
     return out
 
 
-def discard(*tables: DataFrame | None) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _made.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
     """Delete settled tables that no later step reads."""
     for df in tables:
-        path = getattr(df, "_settled_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _delete(df.sparkSession, df._settled_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this process has left in the shared folder, once no result is read any more."""
+    for path in list(_made):
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:

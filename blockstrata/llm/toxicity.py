@@ -123,7 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_y"))
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < F.lit(min(1.0, SAMPLE / max(n, 1)) * float(1 << 40)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_id").select("_id", "_text", "_y")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_id")
+    # One text for each id drawn: rows that repeat an id don't lift the bound.
+    rows = rows.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_id", "_text", "_y")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inputs = _Inputs(None)

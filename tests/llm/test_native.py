@@ -100,3 +100,16 @@ def test_mix(documents, messy, empty):
     want = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix_report(documents).collect() if r["taken"]}
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
     assert mixing.mix_documents(messy).columns == messy.columns
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    from blockstrata.llm import store
+
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(store, "_made", [])
+    a, b = store.settle(spark.range(5).toDF("x"), "a"), store.settle(spark.range(3).toDF("x"), "b")
+    assert len(list((tmp_path / "shared").iterdir())) == 2 and a.count() == 5
+    store.discard(a)
+    assert [p.name.split("-")[1] for p in (tmp_path / "shared").iterdir()] == ["b"] and b.count() == 3
+    store.clear(spark)
+    assert not list((tmp_path / "shared").iterdir())
