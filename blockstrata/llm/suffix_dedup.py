@@ -27,7 +27,7 @@ from blockstrata.llm.workers import tidy
 
 LENGTH, ANCHOR = 200, 32
 #: Bytes that a task sorts at once.
-SHARD = 1 << 20
+SHARD = 1 << 18
 
 
 # -- a shard -----------------------------------------------------------------------------------------------------
@@ -168,22 +168,20 @@ class Shard:
         sizes = np.diff(self.first, append=len(self.sa))
         self.seen[self.sa[np.repeat(run, sizes)]] = True
 
-    def covered(self) -> Iterator[list[int]]:
-        """Per segment: from, to, from, to ... of the bytes that repeated windows cover."""
-        for s, n in zip(self.starts.tolist(), self.sizes.tolist(), strict=True):
-            yield cover(np.flatnonzero(self.seen[s : s + n]), self.depth)
-
-
-def cover(windows: np.ndarray, depth: int) -> list[int]:
-    """Merged stretches covered by windows that start at the given ascending places."""
-    if not len(windows):
-        return []
-    gap = np.flatnonzero(np.diff(windows) > depth)
-    lo, hi = np.concatenate([windows[:1], windows[gap + 1]]), np.concatenate([windows[gap], windows[-1:]]) + depth
-    return np.stack([lo, hi], 1).ravel().tolist()
-
-
-# -- the operator ------------------------------------------------------------------------------------------------
+    def covered(self) -> list[list[int]]:
+        """Per segment: from, to, from, to ... of the bytes that repeated windows cover, merged. A segment's last
+        window starts a whole window before the next segment, so stretches never cross."""
+        windows = np.flatnonzero(self.seen)
+        out: list[list[int]] = [[] for _ in self.starts]
+        if not len(windows):
+            return out
+        gap = np.flatnonzero(np.diff(windows) > self.depth)
+        lo, hi = np.concatenate([windows[:1], windows[gap + 1]]), np.concatenate([windows[gap], windows[-1:]]) + self.depth
+        owner = np.searchsorted(self.starts, lo, side="right") - 1
+        base = self.starts[owner]
+        for k, x, y in zip(owner.tolist(), (lo - base).tolist(), (hi - base).tolist(), strict=True):
+            out[k] += (x, y)
+        return out
 
 
 class Bytes:
