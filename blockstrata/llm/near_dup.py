@@ -7,14 +7,13 @@ the anchor next to it lies within radius + 1 of both: the threshold of two bits
 bit each. So every fingerprint is replicated to all anchors within 1 + 1 bits, 15 or 16 a part, and all links
 meet at an anchor. Equal fingerprints travel once.
 
-That bound is on bits. For a bound on the similarity of the texts, where fingerprints differ in many bits,
-similar_dups() has wide ones: two words decide, four others give parts for anchors. A part of 32 bits is
-near enough in some place much more often than the whole fingerprint is.
+That bound is on bits. For a bound on the similarity of the texts, similar_dups() compares the sets of shingles
+themselves: bands of least hashes bring candidates together, and exact counts of common shingles decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +35,29 @@ CHUNK, LARGE = 200_000, 2048
 def fingerprint(text: str | None, k: int, lanes: int = 1) -> list[int]:
     """Majority bits of the XXH64 values of k-word shingles, lower-cased in A to Z; no words: 0. Lanes beyond the
     first are majorities of values mixed from these."""
+    return _majority(_hashes(text, k), lanes)
+
+
+def _hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle, in chunks."""
     import xxhash
 
     words = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
     if not words:
-        return [0] * lanes
+        return
     joined, count = b" ".join(words), max(1, len(words) - k + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:count]
-    ends, ones, digest = ends[min(k, len(words)) - 1 :], np.zeros((lanes, 64), "i8"), xxhash.xxh64_intdigest
+    ends, digest = ends[min(k, len(words)) - 1 :], xxhash.xxh64_intdigest
     for at in range(0, count, 65536):
         cut = [joined[a:b] for a, b in zip(starts[at : at + 65536].tolist(), ends[at : at + 65536].tolist(), strict=True)]
-        h = np.array([digest(s, SEED) for s in cut], "<u8")
+        yield np.array([digest(s, SEED) for s in cut], "<u8")
+
+
+def _majority(chunks: Iterable[np.ndarray], lanes: int = 1) -> list[int]:
+    count, ones = 0, np.zeros((lanes, 64), "i8")
+    for h in chunks:
+        count += len(h)
         for lane in range(lanes):
             if lane:
                 h = (h ^ (h >> np.uint64(31))) * _MIX
@@ -216,37 +226,167 @@ def near_dups(docs: DataFrame, *, shingle: int = 5, bits: int = 5, id_col: str =
     """
     rows = settle(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     spread = rows.select("_fp").distinct().select(F.explode(anchors(F.col("_fp"), bits)).alias("key"), "_fp")
-    return _classes(rows, spread, bits, id_col)
+    edges = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_per_anchor(bits), "a bigint, b bigint")
+    return _classes(rows, edges, "_fp", id_col)
 
 
-def _classes(rows: DataFrame, spread: DataFrame, bits: int, id_col: str) -> DataFrame:
-    """``spread``: key and the words that decide; the first of them stands for all rows that have it."""
-    edges = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_per_anchor(bits), "a bigint, b bigint")
+def _classes(rows: DataFrame, edges: DataFrame, by: str, id_col: str) -> DataFrame:
+    """``edges`` are links between values of the column ``by``, each of which stands for all rows that have it."""
     roots = components(edges)
-    groups = rows.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    rooted = groups.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
+    groups = rows.groupBy(by).agg(F.min("_id").alias("_least"))
+    rooted = groups.join(roots, F.col(by) == F.col("node"), "left").select(by, "_least", F.coalesce("root", by).alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = settle(rooted.join(least, "_root").select("_fp", "component_id"), "classes")
-    return rows.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = settle(rooted.join(least, "_root").select(by, "component_id"), "classes")
+    return rows.join(named, by).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+# -- sets of shingles --------------------------------------------------------------------------------------------
 
-#: Of a wide fingerprint: words that decide, words that give anchors, and in how many bits the former may differ.
-#: At a similarity of 0.8 of five-word shingles, 128 bits differ in 17 on average; at 0.7, in 25.
+#: Wide fingerprints, which bounds in the tests are made of: words that decide, others, and bits of the former.
 DECIDE, REACH, WIDE_BITS = 2, 4, 21
+#: Linked are sets of which PART of WHOLE shingles are common. One of BANDS bands of DEEP least hashes is equal in
+#: all but (1 - 0.8^4)^32 = 5e-8 of pairs at just 0.8, and in more of those above.
+PART, WHOLE, BANDS, DEEP = 4, 5, 32, 4
+#: Sets and shingles in a block of a group of candidates; larger groups are compared by pairs of blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 21
+_BY, _PLUS = np.random.default_rng(SEED).integers(0, 2**32, (2, BANDS * DEEP, 1), "u4") | np.array([[[1]], [[0]]], "u4")
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Distinct values of a text's shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *_hashes(text, k)]))
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """Keys of a set: sets that are alike have one in common."""
+    import xxhash
+
+    least, high = np.full(BANDS * DEEP, 2**32 - 1, "u4"), (own >> np.uint64(32)).astype("u4")
+    for at in range(0, len(high), 4096):
+        np.minimum(least, (high[at : at + 4096] * _BY + _PLUS).min(1), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, DEEP))]
+
+
+def _sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """_id, _fp, _node (digest of the set of shingles), _size, and of a node's first row in a task _bands and _text."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                chunks = list(_hashes(text, k))
+                own = np.unique(np.concatenate([np.zeros(0, "<u8"), *chunks]))
+                node = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+                new = node not in met
+                met.add(node)
+                out.append((_majority(chunks)[0], node, len(own), np.array(bands(own), "u8").view("i8") if new else None, (text or "") if new else None))
+            fp, node, size, keys, text = zip(*out, strict=True) if out else [()] * 5
+            longs = [pa.array(np.array(x, "u8").view("i8")) for x in (fp, node)]
+            columns = [batch.column(0), *longs, pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_fp", "_node", "_size", "_bands", "_text"])
+        met.clear()
+        tidy()
+
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _fp bigint, _node bigint, _size int, _bands array<bigint>, _text string")
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: each node with the first of its key."""
+    last = root = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(at < 0, 0 if root is None else root, node[at])
+        last, root = key[-1], first[-1]
+        moved = first != node
+        yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(first[moved])], ["a", "b"])
+
+
+def alike(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links that connect all sets of which PART of WHOLE shingles are common. Pairs that are connected already
+    are not compared, nor those too different in size."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    size = np.array([len(sets[i]) for i in order], "i8")
+    ends = np.cumsum(size)
+    values, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    mark, label = np.zeros(len(values), bool), np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        to = int(np.searchsorted(size, size[i] * WHOLE // PART, side="right"))
+        if (label[i + 1 : to] == label[i]).all():
+            continue
+        own = flat[ends[i] - size[i] : ends[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat[ends[i] : ends[to - 1]]], ends[i : to - 1] - ends[i], dtype="i8")
+        mark[own] = False
+        for j in i + 1 + np.flatnonzero(common * WHOLE >= (size[i] + size[i + 1 : to] - common) * PART):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield order[i], order[j]
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of alike sets among rows of root, lo, hi, node, set, sorted by these: of each pair of blocks."""
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if len(sets) > 1:
+            links = list(alike(sets))
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[x[i]] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    nodes: list[int] = []
+    sets: list[np.ndarray] = []
+    last = None
+    for batch in batches:
+        for *group, node, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group != last:
+                yield from done()
+                nodes, sets, last = [], [], group
+            if not nodes or nodes[-1] != node:  # else a copy from another task
+                nodes.append(node)
+                sets.append(np.frombuffer(own, "<u8"))
+    yield from done()
+    tidy()
+
+
+def _alike(rows: DataFrame, k: int) -> DataFrame:
+    """Links a - b of nodes. Candidates that hang together are compared all with all."""
+    spread = rows.where("_bands IS NOT NULL").select("_node", "_bands").dropDuplicates(["_node"]).select(F.explode("_bands").alias("key"), "_node")
+    roots = components(spread.repartition("key").sortWithinPartitions("key", "_node").mapInArrow(_stars, "a bigint, b bigint"))
+    members = settle(roots.union(roots.select("root", "root").distinct()).toDF("_node", "root"), "members")
+    sizes = rows.groupBy("_node").agg(F.max("_size").alias("_size")).join(members, "_node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("_size") / BLOCK_SHINGLES)).cast("int")
+    per = sizes.groupBy("root").agg(blocks.alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, k).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["root", "n", "_node", "own"])
+        tidy()
+
+    wanted = settle(members.join(per, "root"), "wanted")
+    texts = rows.where("_text IS NOT NULL").join(wanted, "_node").select("root", "n", "_node", "_text")
+    sets = texts.mapInArrow(run, "root bigint, n int, _node bigint, own binary")
+    block = F.pmod(F.xxhash64("_node"), F.col("n")).cast("int")
+    # Blocks i and j meet in the group (i, j); a group of one block in (0, 0).
+    other = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: j != F.col("block")))
+    dealt = sets.withColumn("block", block).withColumn("j", F.explode(other))
+    dealt = dealt.select("root", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "_node", "own")
+    return dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "_node").mapInArrow(_confirmed, "a bigint, b bigint")
 
 
-def similar_dups(docs: DataFrame, *, shingle: int = 5, bits: int = WIDE_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As near_dups(), for texts whose shingles are similar to 0.8 or more, by wide fingerprints.
+def similar_dups(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As near_dups(), for texts whose sets of shingles are similar to 0.8 or more: common ones over all of both.
 
-    Two texts are linked if their deciding words differ in ``bits`` bits at most and one of eight 32-bit parts of
-    the other words differs in two at most. All that differ in 23 or fewer of these 256 bits meet at an anchor;
-    of pairs at a similarity of 0.8 about four in five do, of those at 0.9 nearly all.
+    Every link is an exact count of common shingles (of their XXH64 values). Candidates are found by bands of least
+    hashes, see BANDS. Texts without words have equal sets and are linked.
     """
-    rows = settle(fingerprints(docs, shingle, id_col, text_col, DECIDE + REACH), "fingerprints")
-    words = [f"_fp{i}" for i in range(DECIDE, DECIDE + REACH)]
-    keys = F.concat(*[anchors(F.col(w), 4, 2 * i) for i, w in enumerate(words)])
-    spread = rows.drop("_id").distinct().select(F.explode(keys).alias("key"), "_fp", "_fp1")
-    return _classes(rows, spread, bits, id_col)
+    rows = settle(_sets(docs, shingle, id_col, text_col), "shingles")
+    return _classes(rows, _alike(rows, shingle), "_node", id_col)
 
 
 def drop_near_dups(docs: DataFrame, find=similar_dups, **how) -> DataFrame:

@@ -99,3 +99,56 @@ def test_similar_texts(spark):
     assert all(got[2 * i] == 2 * i for i in share) and all(got[2 * i + 1] in (2 * i, 2 * i + 1) for i in share)
     rate = lambda lo, hi: (lambda v: sum(v) / len(v))([linked[i] for i, s in share.items() if lo <= s < hi])
     assert rate(0.93, 1) > 0.97 and rate(0.86, 0.93) > 0.85 and rate(0.8, 0.86) > 0.55 and rate(0, 0.6) == 0
+
+
+def brute_alike(texts):
+    """Least row of each one's component, by the definition of similarity on words."""
+    words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    near = [[i == j or len(a & b) * 5 >= len(a | b) * 4 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    comp = list(range(len(texts)))
+    while (new := [min(comp[j] for j, x in enumerate(row) if x) for row in near]) != comp:
+        comp = new
+    return comp
+
+
+def around(rng, pairs, n=116):
+    """Pairs of texts whose similarity lies on both sides of 0.8, and close to it."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    out = []
+    for i in range(pairs):
+        text = [word() for _ in range(n)]
+        copy = list(text)
+        at = rng.randrange(n - 30)
+        copy[at : at + 5 + i % 6] = [word() for _ in range(5 + i % 6)]
+        if i % 2:
+            copy = [word() for _ in range(2 + i % 3)] + copy
+        out += [" ".join(text), " ".join(copy)]
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_similar_is_exact(spark, monkeypatch, block):
+    """Just those at 0.8 or more are linked: pairs, a chain of small steps, and a crowd that is compared in blocks."""
+    import random
+
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", block)
+    rng = random.Random(7)
+    texts = around(rng, 150)
+    chain = [str(rng.random()) for _ in range(100)]
+    texts += [" ".join(chain[i * 5 :] + [f"{i}x{j}" for j in range(i * 5)]) for i in range(12)]
+    texts += [" ".join(chain[:40] + [str(rng.random()) for _ in range(rng.choice([3, 20]))]) for i in range(30)] + [None, "", " ", "One", "one"]
+    got = {r[0]: r[2] for r in near_dup.similar_dups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    want = brute_alike(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want[:300])) in range(160, 290)
+
+
+def test_bands():
+    """As many pairs at just 0.8 share a band as least hashes that are independent give."""
+    rng = np.random.default_rng(3)
+    shared = []
+    for _ in range(300):
+        x = rng.integers(0, 2**64, 110, dtype="u8")
+        shared.append(sum(a == b for a, b in zip(near_dup.bands(x[:99]), near_dup.bands(x[11:]), strict=True)))
+    assert abs(np.mean(shared) / near_dup.BANDS - 0.8**4) < 0.02 and min(shared) > 0
+    assert near_dup.bands(x[:0]) == near_dup.bands(x[:0])

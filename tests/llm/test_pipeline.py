@@ -64,6 +64,16 @@ def test_near_duplicates(kept):
     assert {r["doc_id"]: r["text"] for r in got}.items() <= dict(rows).items()
 
 
+def test_near_duplicates_by_similarity(kept):
+    """Just the components of similarity 0.8 or more, counted on words."""
+    rows = sorted((r["doc_id"], r["text"]) for r in kept["quality rules"].collect())
+    words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t).split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    near = np.array([[i == j or len(a & b) * 5 >= len(a | b) * 4 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    got = [r["doc_id"] for r in kept["near duplicates"].collect()]
+    assert sorted(got) == sorted(roots_of(near, [i for i, _ in rows]))
+
+
 def test_repeated_passages(kept):
     rows = {r["doc_id"]: r["text"].encode() for r in kept["near duplicates"].collect()}
     count = Counter(t[i : i + 200] for t in rows.values() for i in range(len(t) - 199))
