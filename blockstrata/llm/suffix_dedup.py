@@ -5,7 +5,7 @@ segments of a range of anchors, so equal windows are in one shard unless their g
 A segment that occurs many times is in it once, with its number of occurrences. In each shard, suffixes are
 sorted by Larsson-Sadakane refinement: groups of equal prefixes are split by the rank of what follows, and
 the prefix doubles. Common prefixes of neighbours come from Kasai's rule: along a stretch of text where the
-left neighbours move on by one as well, the common prefix shrinks by one. Windows whose neighbours share
+left neighbours move on by one as well, the common prefix shrinks by one until it is empty. Windows whose neighbours share
 LENGTH bytes or more are repeated if they stand for two occurrences or more. A group that fills several shards
 is merged across them by binary search of each one's windows in the others.
 """
@@ -88,7 +88,8 @@ def common_prefixes(sa: np.ndarray, word: np.ndarray, sym: np.ndarray, left: np.
     before = np.full(n, -1, "i4")
     before[sa[1:]] = sa[:-1]
     head = np.ones(n, bool)
-    head[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (left[:-1] == 0)
+    # The rule holds only where the common prefix before was not empty.
+    head[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (left[:-1] == 0) | (sym[:-1] != sym[before[:-1]])
     p = np.flatnonzero(head & (before >= 0)).astype("i4")
     q, size = before[p], np.zeros(len(p), "i4")
     most = np.minimum(left[p], left[q]).astype("i4")

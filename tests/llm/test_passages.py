@@ -83,6 +83,33 @@ def test_suffix_order_and_prefixes():
     assert order == sorted(order)
 
 
+def repeated(shard, texts, depth):
+    count = Counter(t[i : i + depth] for t in texts for i in range(len(t) - depth + 1))
+    return all(bool(shard.seen[a + i]) == (count[t[i : i + depth]] > 1) for t, a in zip(texts, shard.starts, strict=True) for i in range(len(t) - depth + 1))
+
+
+def test_chain_after_an_empty_prefix():
+    """Neighbours that differ in their first byte, and those one further that share what follows."""
+    assert repeated(suffix_dedup.Shard([b"x1yz", b"x2yz"], [1, 1], 2), [b"x1yz", b"x2yz"], 2)
+    rng = random.Random(6)
+    for _ in range(300):
+        texts = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 12))) for _ in range(6)]
+        assert repeated(suffix_dedup.Shard(texts, [1] * 6, 3), texts, 3)
+
+
+def test_one_byte_substituted(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(20):
+        x, w = (bytes(rng.choice(b"cdefgh") for _ in range(n)) for n in (rng.choice([1, 90, 250]), 230))
+        # The byte and what follows it are the last of theirs in one text and the first of theirs in the other.
+        texts += [x + bytes([65 + 2 * i]) + w, x + bytes([66 + 2 * i]) + w]
+    assert repeated(suffix_dedup.Shard(texts, [1] * len(texts)), texts, 200)
+    df = spark.createDataFrame([(i, t.decode("latin-1")) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.report(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_bytes([t.decode("latin-1").encode() for t in texts])
+
+
 def test_automaton(monkeypatch):
     monkeypatch.setattr(automaton_dedup, "LENGTH", 3)
     rng = random.Random(4)
