@@ -75,16 +75,16 @@ _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="lit
 
 
 def fingerprints(docs: DataFrame, k: int, id_col: str, text_col: str, lanes: int = 1) -> DataFrame:
-    """_id and _fp, _fp1, ... (64 bits each, as signed longs)."""
+    """_id, _key (of the text) and _fp, _fp1, ... (64 bits each, as signed longs)."""
     names = ["_fp", *[f"_fp{i}" for i in range(1, lanes)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), k, lanes) for t in batch.column(1)], "u8").reshape(-1, lanes).view("i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, i].copy()) for i in range(lanes)]], ["_id", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[::2], *[pa.array(fps[:, i].copy()) for i in range(lanes)]], ["_id", "_key", *names])
 
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return slim.mapInArrow(run, ", ".join([f"_id {slim.schema['_id'].dataType.simpleString()}", *[f"{n} bigint" for n in names]]))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
+    return slim.mapInArrow(run, ", ".join([f"_id {slim.schema['_id'].dataType.simpleString()}, _key bigint", *[f"{n} bigint" for n in names]]))
 
 
 # -- anchors -----------------------------------------------------------------------------------------------------
@@ -224,17 +224,27 @@ def near_dups(docs: DataFrame, *, shingle: int = 5, bits: int = 5, id_col: str =
     never a component's least one unless all are null. Repeated rows give repeated rows. An empty table gives
     an empty result; other columns play no part.
     """
+    return _classes(*near_links(docs, shingle=shingle, bits=bits, id_col=id_col, text_col=text_col), id_col)
+
+
+def near_links(docs: DataFrame, *, shingle: int = 5, bits: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
+    """(rows, links a - b, the column of rows whose values are linked)."""
     rows = settle(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     spread = rows.select("_fp").distinct().select(F.explode(anchors(F.col("_fp"), bits)).alias("key"), "_fp")
     edges = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_per_anchor(bits), "a bigint, b bigint")
-    return _classes(rows, edges, "_fp", id_col)
+    return rows, edges, "_fp"
 
 
-def _classes(rows: DataFrame, edges: DataFrame, by: str, id_col: str) -> DataFrame:
-    """``edges`` are links between values of the column ``by``, each of which stands for all rows that have it."""
+def _rooted(rows: DataFrame, edges: DataFrame, by: str, what: Column) -> DataFrame:
+    """``edges`` are links between values of the column ``by``, each of which stands for all rows that have it. Per
+    value, the least of ``what`` and the component's root."""
     roots = components(edges)
-    groups = rows.groupBy(by).agg(F.min("_id").alias("_least"))
-    rooted = groups.join(roots, F.col(by) == F.col("node"), "left").select(by, "_least", F.coalesce("root", by).alias("_root"))
+    groups = rows.groupBy(by).agg(F.min(what).alias("_least"))
+    return groups.join(roots, F.col(by) == F.col("node"), "left").select(by, "_least", F.coalesce("root", by).alias("_root"))
+
+
+def _classes(rows: DataFrame, edges: DataFrame, by: str, id_col: str) -> DataFrame:
+    rooted = _rooted(rows, edges, by, F.col("_id"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = settle(rooted.join(least, "_root").select(by, "component_id"), "classes")
     return rows.join(named, by).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -268,7 +278,7 @@ def bands(own: np.ndarray) -> list[int]:
 
 
 def _sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """_id, _fp, _node (digest of the set of shingles), _size, and of a node's first row in a task _bands and _text."""
+    """_id, _key (of the text), _fp, _node (digest of the set of shingles), _size, and of a node's first row in a task _bands and _text."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,13 +294,13 @@ def _sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 out.append((_majority(chunks)[0], node, len(own), np.array(bands(own), "u8").view("i8") if new else None, (text or "") if new else None))
             fp, node, size, keys, text = zip(*out, strict=True) if out else [()] * 5
             longs = [pa.array(np.array(x, "u8").view("i8")) for x in (fp, node)]
-            columns = [batch.column(0), *longs, pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(text, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_fp", "_node", "_size", "_bands", "_text"])
+            columns = [*batch.columns[::2], *longs, pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", "_fp", "_node", "_size", "_bands", "_text"])
         met.clear()
         tidy()
 
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _fp bigint, _node bigint, _size int, _bands array<bigint>, _text string")
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
+    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _key bigint, _fp bigint, _node bigint, _size int, _bands array<bigint>, _text string")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,15 +395,23 @@ def similar_dups(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", t
     Every link is an exact count of common shingles (of their XXH64 values). Candidates are found by bands of least
     hashes, see BANDS. Texts without words have equal sets and are linked.
     """
+    return _classes(*similar_links(docs, shingle=shingle, id_col=id_col, text_col=text_col), id_col)
+
+
+def similar_links(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
+    """As near_links(), of similar_dups()."""
     rows = settle(_sets(docs, shingle, id_col, text_col), "shingles")
-    return _classes(rows, _alike(rows, shingle), "_node", id_col)
+    return rows, _alike(rows, shingle), "_node"
 
 
-def drop_near_dups(docs: DataFrame, find=similar_dups, **how) -> DataFrame:
-    """One row of each component stays, that with the least id; of repeated rows with that id, one."""
-    id_col = how.get("id_col", "doc_id")
-    found = find(docs, **how)
+def drop_near_dups(docs: DataFrame, find=similar_links, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each component stays, that with the least id, null ids last, and of these with the least digest of
+    the text; of rows that repeat id and text, one. Ids that several components share are told apart by the text."""
+    rows, edges, by = find(docs, id_col=id_col, text_col=text_col, **how)
+    rooted = _rooted(rows, edges, by, F.struct(F.col("_id").isNull().alias("last"), "_id", "_key"))
+    least = rooted.groupBy("_root").agg(F.min("_least").alias("_least"))
     name = max(docs.columns, key=len) + "_"  # no column of docs has it
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    return kept.dropDuplicates([id_col])
+    keep = least.select(F.col("_least._id").alias(f"{name}id"), F.col("_least._key").alias(f"{name}key"))
+    keyed = docs.withColumn(name, F.xxhash64(text_col))
+    kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col(f"{name}id")) & (F.col(name) == F.col(f"{name}key")), "left_semi")
+    return kept.dropDuplicates([id_col, name]).drop(name)

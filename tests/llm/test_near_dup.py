@@ -152,3 +152,13 @@ def test_bands():
         shared.append(sum(a == b for a, b in zip(near_dup.bands(x[:99]), near_dup.bands(x[11:]), strict=True)))
     assert abs(np.mean(shared) / near_dup.BANDS - 0.8**4) < 0.02 and min(shared) > 0
     assert near_dup.bands(x[:0]) == near_dup.bands(x[:0])
+
+
+@pytest.mark.parametrize("find", [near_dup.near_links, near_dup.similar_links])
+def test_drop_keeps_a_row_of_each_component(spark, find):
+    """Unrelated texts under a null and under a shared id stay, also if the id is the least of another component."""
+    texts = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcdefgh"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (3, texts[5]), (7, texts[5]), (None, texts[5]), (None, texts[6]), (9, texts[6]), (None, None)]
+    got = near_dup.drop_near_dups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), find).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[5]), (9, texts[6]), (None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
