@@ -13,6 +13,7 @@ streamed through the automata of its earlier shards as well.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,27 +22,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockstrata.llm.passage_tables import contents, distinct_segments, found_segments, keys_of
-from blockstrata.llm.passages import Segments, segments, span_hash, sums
+from blockstrata.llm.passages import Segments, digests, segments, span_hash, sums
 from blockstrata.llm.store import discard, release, settle
 
 LENGTH, ANCHOR = 50, 8
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Words of a reference shard.
 SHARD = 30_000
 
 
 class Words:
-    """Words as units of passages; a unit's number is a hash of the word."""
+    """Words as units of passages. A unit's number is a hash of the word, good for choosing anchors; segments are equal
+    if their words are, by a digest of these."""
 
     length, anchor = LENGTH, ANCHOR
 
-    def segments(self, texts: list[bytes]) -> Segments:
+    def cut(self, text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+        at = before = 0
+        while True:
+            end = _BLANK.search(text, at + size)
+            part = text[at : end.start()] if end else text[at:]
+            n = len(part.split())
+            if end and n < LENGTH:
+                size *= 2  # very long words
+                continue
+            yield before, part
+            if not end:
+                return
+            head = part.rsplit(None, LENGTH - 1)[0]
+            at, before = at + len(head), before + n - LENGTH + 1
+
+    def segments(self, texts: list[bytes]) -> tuple[Segments, np.ndarray]:
         own = [t.split() for t in texts]
         words = [w for ws in own for w in ws]
         starts = np.concatenate([[0], np.cumsum([len(ws) for ws in own])]).astype("i8")
-        ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)))
-        prefix = sums(np.frombuffer(b"".join(words), "u1").astype("u8"))
-        units = span_hash(prefix, np.concatenate([[0], ends[:-1]]).astype("i8"), ends) if len(words) else np.zeros(0, "u8")
-        return segments(units, starts, LENGTH, ANCHOR)
+        ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
+        begins, joined = np.concatenate([[0], ends[:-1] + 1]).astype("i8"), b" ".join(words)
+        units = span_hash(sums(np.frombuffer(joined, "u1").astype("u8")), begins, ends) if len(words) else np.zeros(0, "u8")
+        found = segments(units, starts, LENGTH, ANCHOR)
+        lo = starts[found.doc] + found.first
+        return found, digests(joined, begins[lo], ends[lo + found.windows + LENGTH - 2]) if len(words) else digests(b"", lo, lo)
 
     def sequence(self, text: bytes) -> list[bytes]:
         return text.split()
@@ -127,7 +147,7 @@ _RUN = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("doc", pa.in
 
 
 def earliest_documents(taken: DataFrame) -> DataFrame:
-    """anchor, digest and runs (windows from lo to hi, and the least document that has them)."""
+    """d1, d2 and runs (windows from lo to hi, and the least document that has them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier: list[tuple[Automaton, dict]] = []  # of the group that is still coming
@@ -148,7 +168,7 @@ def earliest_documents(taken: DataFrame) -> DataFrame:
                     out.append((r[1], r[2], [{"lo": x["lo"] + r[5], "hi": x["hi"] + r[5], "doc": x["doc"]} for x in _runs(least)]))
             earlier.append((shard, numbers))
             columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), _RUN), strict=True)], ["anchor", "digest", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), _RUN), strict=True)], ["d1", "d2", "runs"])
 
         held: list[tuple] = []
         size, last = 0, None
@@ -176,8 +196,8 @@ def earliest_documents(taken: DataFrame) -> DataFrame:
         if held:
             yield from told(held)
 
-    placed = taken.repartition("key").sortWithinPartitions("key", "doc", "anchor", "digest", "base")
-    return placed.mapInArrow(run, "anchor bigint, digest bigint, runs array<struct<lo:int,hi:int,doc:bigint>>")
+    placed = taken.repartition("key").sortWithinPartitions("key", "doc", "d1", "d2", "base")
+    return placed.mapInArrow(run, "d1 bigint, d2 bigint, runs array<struct<lo:int,hi:int,doc:bigint>>")
 
 
 def windows_to_remove(rows: DataFrame) -> DataFrame:
@@ -187,11 +207,12 @@ def windows_to_remove(rows: DataFrame) -> DataFrame:
     earliest = settle(earliest_documents(contents(rows, distinct, Words())), "earliest")
     discard(distinct)
     release(rows.sparkSession)
-    every = found_segments(rows, Words(), False).select("_u1", "_u2", "start", "anchor", "digest")
-    met = every.join(earliest, ["anchor", "digest"])
+    every = found_segments(rows, Words(), False).select("_u1", "_u2", "start", "d1", "d2")
+    met = every.join(earliest, ["d1", "d2"])
     stretch = F.transform(F.filter("runs", lambda x: x["doc"] < F.col("_u1")), lambda x: F.struct((x["lo"] + F.col("start")).alias("lo"), (x["hi"] + F.col("start")).alias("hi")))
     met = met.select("_u1", "_u2", stretch.alias("s")).where(F.size("s") > 0)
-    out = settle(met.groupBy("_u1", "_u2").agg(F.flatten(F.collect_list("s")).alias("stretches")), "stretches")
+    # A set: rows that repeat id and text find the same stretches.
+    out = settle(met.groupBy("_u1", "_u2").agg(F.flatten(F.collect_set("s")).alias("stretches")), "stretches")
     discard(earliest)
     release(rows.sparkSession)
     return out
@@ -213,10 +234,10 @@ def keep_words(text: bytes, stretches: list[dict] | None) -> tuple[list[bytes],
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, n_removed and kept_sha256.
 
-    A null text has no words. A null id counts as smaller than all others. Rows that share an id are no
-    references for each other. An empty table gives an empty result; other columns play no part.
+    A null text has no words. A null id counts as smaller than all others; ids that aren't whole numbers are an
+    error. Rows that share an id, repeated ones too, are no references for each other. An empty table gives an empty result; other columns play no part.
     """
-    keys = keys_of(id_col, text_col)
+    keys = keys_of(docs, id_col, text_col)
     stretches = windows_to_remove(docs.select(*keys))
     joined = docs.select(*keys, F.col(id_col).alias("_id")).join(stretches, ["_u1", "_u2"], "left")
 

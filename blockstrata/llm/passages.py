@@ -9,6 +9,7 @@ out without loss.
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +28,13 @@ class Segments(NamedTuple):
     windows: np.ndarray
     anchor_at: np.ndarray
     anchor: np.ndarray
-    digest: np.ndarray
+
+
+def digests(data: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """BLAKE2b of each stretch, as two numbers: what is taken for equal content. The hashes below only choose anchors."""
+    view, blake = memoryview(data), hashlib.blake2b
+    made = b"".join([blake(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+    return np.frombuffer(made, "<i8").reshape(-1, 2)
 
 
 _powers: dict[str, np.ndarray] = {}
@@ -53,7 +60,7 @@ def sums(units: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Depends on the units in [lo, hi) and their number, not on where they are."""
+    """Depends on the units in [lo, hi) and their number, not on where they are; different units can share it."""
     _, down = _power(len(prefix) + 1)
     return mix((prefix[hi] - prefix[lo]) * down[lo] + _B * (hi - lo).astype("u8"))
 
@@ -78,7 +85,7 @@ def segments(units: np.ndarray, starts: np.ndarray, length: int, k: int) -> Segm
     n, sizes = len(units), np.diff(starts)
     if n < length or sizes.max(initial=0) < length:
         none = np.zeros(0, "i8")
-        return Segments(none, none, none, none, none.astype("u8"), none.astype("u8"))
+        return Segments(none, none, none, none, none.astype("u8"))
     prefix = sums(units)
     _, down = _power(n + 1)
     h = mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1] + np.uint64(int(_B) * k % 2**64))  # span_hash() of all strings of k units
@@ -97,4 +104,4 @@ def segments(units: np.ndarray, starts: np.ndarray, length: int, k: int) -> Segm
     head = np.flatnonzero(new)
     count = np.diff(head, append=len(doc))
     lo, doc, anchor = start[head].astype("i8"), doc[head].astype("i8"), anchor[head].astype("i8")
-    return Segments(doc, lo - starts[doc], count, anchor - lo, h[anchor], span_hash(prefix, lo, lo + count + length - 1))
+    return Segments(doc, lo - starts[doc], count, anchor - lo, h[anchor])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockstrata.llm.passage_tables import contents, distinct_segments, found_segments, keys_of
-from blockstrata.llm.passages import Segments, segments
+from blockstrata.llm.passages import Segments, digests, segments
 from blockstrata.llm.store import discard, release, settle
 from blockstrata.llm.workers import tidy
 
@@ -190,9 +190,15 @@ class Bytes:
 
     length, anchor = LENGTH, ANCHOR
 
-    def segments(self, texts: list[bytes]) -> Segments:
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("i8")
-        return segments(np.frombuffer(b"".join(texts), "u1").astype("u8"), starts, LENGTH, ANCHOR)
+    def cut(self, text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+        for at in range(0, max(len(text) - LENGTH + 1, 1), size):
+            yield at, text[at : at + size + LENGTH - 1]
+
+    def segments(self, texts: list[bytes]) -> tuple[Segments, np.ndarray]:
+        starts, joined = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("i8"), b"".join(texts)
+        found = segments(np.frombuffer(joined, "u1").astype("u8"), starts, LENGTH, ANCHOR)
+        lo = starts[found.doc] + found.first
+        return found, digests(joined, lo, lo + found.windows + LENGTH - 1)
 
     def sequence(self, text: bytes) -> bytes:
         return text
@@ -201,18 +207,18 @@ class Bytes:
         return part
 
 
-_RANGES = "anchor bigint, digest bigint, ranges array<int>"
+_RANGES = "d1 bigint, d2 bigint, ranges array<int>"
 
 
 def repeated_ranges(taken: DataFrame) -> DataFrame:
-    """anchor, digest and the stretches of that segment that are repeated, as from, to, from, to ..."""
+    """d1, d2 and the stretches of that segment that are repeated, as from, to, from, to ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(shards: list[tuple[list[tuple], Shard]]) -> Iterator[pa.RecordBatch]:
             for rows, shard in shards:
                 out = [(r[1], r[2], [r[5] + x for x in c]) for r, c in zip(rows, shard.covered(), strict=True) if c]
                 columns = list(zip(*out, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["anchor", "digest", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["d1", "d2", "ranges"])
 
         def made(rows: list[tuple]) -> tuple[list[tuple], Shard]:
             return rows, Shard([r[6] for r in rows], [r[3] for r in rows])
@@ -246,7 +252,7 @@ def repeated_ranges(taken: DataFrame) -> DataFrame:
         yield from told(_merged(open_))
         tidy()
 
-    placed = taken.repartition("key").sortWithinPartitions("key", "anchor", "digest", "base")
+    placed = taken.repartition("key").sortWithinPartitions("key", "d1", "d2", "base")
     return placed.mapInArrow(run, _RANGES)
 
 
@@ -264,9 +270,10 @@ def ranges_by_document(rows: DataFrame) -> DataFrame:
     ranges = settle(repeated_ranges(contents(rows, distinct, Bytes())), "ranges")
     discard(distinct)
     release(rows.sparkSession)
-    every = found_segments(rows, Bytes(), False).select("_u1", "_u2", "start", "anchor", "digest")
-    met = every.join(ranges, ["anchor", "digest"]).select("_u1", "_u2", F.transform("ranges", lambda x: x + F.col("start")).alias("r"))
-    out = settle(met.groupBy("_u1", "_u2").agg(F.flatten(F.collect_list("r")).alias("ranges")), "stretches")
+    every = found_segments(rows, Bytes(), False).select("_u1", "_u2", "start", "d1", "d2")
+    met = every.join(ranges, ["d1", "d2"]).select("_u1", "_u2", F.transform("ranges", lambda x: x + F.col("start")).alias("r"))
+    # A set: rows that repeat id and text find the same stretches.
+    out = settle(met.groupBy("_u1", "_u2").agg(F.flatten(F.collect_set("r")).alias("ranges")), "stretches")
     discard(ranges)
     release(rows.sparkSession)
     return out
@@ -277,16 +284,16 @@ def cut(text: bytes, ranges: list[int] | None) -> tuple[bytes, int, int]:
     if not ranges:
         return text, 0, 0
     pairs = np.array(ranges, "i8").reshape(-1, 2)
-    edge = np.zeros(len(text) + 1, "i4")
-    np.add.at(edge, pairs[:, 0], 1)
-    np.add.at(edge, pairs[:, 1], -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    left = np.frombuffer(text, "u1")[~gone].tobytes()
-    return left, int(gone.sum()), int((np.diff(gone.astype("i1"), prepend=0) == 1).sum())
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    upto = np.maximum.accumulate(pairs[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > upto[:-1]]))
+    lo, hi = pairs[first, 0].tolist(), upto[np.append(first[1:], len(upto)) - 1].tolist()
+    left = b"".join([text[a:b] for a, b in zip([0, *hi], [*lo, len(text)], strict=True)])
+    return left, len(text) - len(left), len(first)
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, carried: Column) -> DataFrame:
-    keys = keys_of(id_col, text_col)
+    keys = keys_of(docs, id_col, text_col)
     stretches = ranges_by_document(docs.select(*keys))
     return docs.select(*keys, carried).join(stretches, ["_u1", "_u2"], "left")
 
@@ -295,7 +302,8 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """Per row: id, n_bytes, n_removed, n_spans and kept_sha256.
 
     A null text is an empty one: nothing to remove. A row that repeats another one's id and text is a copy of
-    it, so both lose what is long enough. An empty table gives an empty result; other columns play no part.
+    it, so both lose what is long enough; rows with null ids are told apart by their texts. Ids that aren't whole
+    numbers are an error. An empty table gives an empty result; other columns play no part.
     """
     joined = _joined(docs, id_col, text_col, F.col(id_col).alias("_id"))
 
@@ -315,7 +323,10 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with repeated bytes cut from the texts; parts of a character at a cut go too. Rows all stay, also
-    those without any text left. ``size_col``, if there is one, becomes the new length."""
+    those without any text left. ``size_col``, if there is one, becomes the new length.
+
+    A null text stays null. Null ids, repeated rows, other ids and empty tables are as in report(); all other columns
+    are carried along, whatever their names."""
     joined = _joined(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
     def run(texts: pa.Array, ranges: pa.Array) -> pa.Array:

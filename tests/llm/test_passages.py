@@ -7,7 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from blockstrata.llm import automaton_dedup, passage_tables, suffix_dedup
+from pyspark.sql import functions as F
+
+from blockstrata.llm import automaton_dedup, passage_tables, passages, suffix_dedup
+from tests.llm.conftest import prose
 
 
 def brute_bytes(texts, length=200):
@@ -139,3 +142,57 @@ def test_messy(messy, empty, spark):
     assert len(words) == messy.count() and automaton_dedup.report(empty).count() == 0
     by = {r["doc_id"]: r for r in words}
     assert by[4]["n_removed"] == by[4]["n_words"] == 300 and by[1]["n_removed"] == 0 and by[11]["n_removed"] == 80 and by[2]["n_words"] == 0
+
+
+def test_words_of_one_hash_differ(spark):
+    """A long word and its complement share the polynomial that anchors are chosen by, but not their content."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    pair = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    units = [passages.sums(np.frombuffer(w.encode(), "u1").astype("u8")) for w in pair]
+    assert len({int(passages.span_hash(u, np.array([0]), np.array([1024]))[0]) for u in units}) == 1
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:30], w, *words[31:]])) for i, w in enumerate(pair)]
+    got = automaton_dedup.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
+def test_repeated_rows_are_counted_not_listed(spark, monkeypatch):
+    """2,000 rows of one id and text, and an earlier document with half of it: lists stay as long as the text asks for."""
+    text, sizes = prose(3, 300), []
+    df = spark.createDataFrame([(7, text)] * 2000 + [(1, text[: len(text) // 2])], "doc_id bigint, text string").repartition(4)
+    for module, found in ((suffix_dedup, suffix_dedup.ranges_by_document), (automaton_dedup, automaton_dedup.windows_to_remove)):
+        got = found(df.select(*passage_tables.keys_of(df, "doc_id", "text")))
+        sizes.append(got.select(F.max(F.size(got.columns[-1]))).first()[0])
+        rows = {(r["doc_id"], r["n_removed"]) for r in module.report(df).collect()}
+        assert len(rows) == 2 and module.report(df).count() == 2001
+    assert max(sizes) < 200
+
+
+@pytest.mark.parametrize("piece", [600, 5000])
+def test_long_texts_in_parts(documents, texts, monkeypatch, piece):
+    monkeypatch.setattr(passage_tables, "PIECE", piece)
+    want = dict(zip([i for i, _ in texts], brute_bytes([t.encode() for _, t in texts]), strict=True))
+    assert {r[0]: tuple(r[1:]) for r in suffix_dedup.report(documents).collect()} == want
+    got = {r[0]: tuple(r[1:]) for r in automaton_dedup.report(documents).collect()}
+    assert got == brute_words([(i, t.encode()) for i, t in texts])
+
+
+def test_parts_of_a_text():
+    text = (" ".join("abcdefgh"[i % 8] * (1 + i % 5) for i in range(900)) + "  \t" + "x" * 700 + " end").encode()
+    words = text.split()
+    for size in (10, 300, 10_000):
+        windows = []
+        for before, part in automaton_dedup.Words().cut(text, size):
+            own = part.split()
+            assert words[before : before + len(own)] == own
+            windows += range(before, before + len(own) - 49)
+        assert windows == list(range(len(words) - 49))
+        places = [(at + i, part[i : i + 200]) for at, part in suffix_dedup.Bytes().cut(text, size) for i in range(len(part) - 199)]
+        assert places == [(i, text[i : i + 200]) for i in range(len(text) - 199)]
+
+
+def test_ids_are_whole_numbers(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for report in (suffix_dedup.report, automaton_dedup.report, suffix_dedup.clean):
+        with pytest.raises(TypeError, match="whole numbers"):
+            report(df)
