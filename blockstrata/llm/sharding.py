@@ -1,24 +1,26 @@
 """Sharding by sampled splitters.
 
 Keys are (text digest, id), so equal texts lie side by side. A size-weighted sample of keys gives quantile
-boundaries of many fine ranges; their exact sizes are counted, and overfull ranges are subdivided by further
-samples from inside them. Rows are sorted within a range only. The ranges' prefix sums then place every row on
-one line of bytes, which is cut into shards of equal length: sizes differ by less than one document.
+boundaries of many fine ranges; their exact sizes are counted, and ranges that are overfull are subdivided by
+new and denser samples from inside them, until none is left that a boundary could divide. Rows are sorted
+within a range only. The ranges' prefix sums then place every row on one line of bytes, which is cut into
+shards of equal length: sizes differ by less than one document.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockstrata.llm.store import discard, settle
 
-#: Fine ranges per shard and sampled keys per fine range: what is sampled and sent has a fixed size.
-RANGES, DRAWS = 32, 8
-#: A range above this many times its share is subdivided, in so many rounds at most.
-OVERFULL, ROUNDS = 2, 4
+#: Ranges: at least so many a shard, one for so many rows, and at most so many in all, as they travel with the plan.
+RANGES, ROWS, MOST = 32, 200_000, 8192
+#: Sampled keys per share of a range, and how many shares make a range overfull.
+DRAWS, OVERFULL = 8, 2
 
 
 def _range_of(key: Column, bounds: list) -> Column:
@@ -33,31 +35,46 @@ def _range_of(key: Column, bounds: list) -> Column:
     )
 
 
+def _draws(pool: DataFrame, per: float, number: int) -> list:
+    """Keys in order, about one for each ``per`` bytes; a row of ``per`` bytes or more is drawn surely. Every round has
+    draws of its own."""
+    u = F.shiftrightunsigned(F.xxhash64("_k", F.lit(number)), 11).cast("double") / float(2**53)
+    return sorted(tuple(r[0]) for r in pool.where(u * per < F.col("size")).select("_k").toLocalIterator())
+
+
+def overfull(keyed: DataFrame, bounds: list, share: float) -> list[int]:
+    """Ranges with more than OVERFULL shares beside their largest row, which no boundary divides."""
+    sizes = keyed.groupBy(_range_of(F.col("_k"), bounds).alias("_range")).agg((F.sum("size") - F.max("size")).alias("n"))
+    return [r[0] for r in sizes.where(F.col("n") > OVERFULL * share).select("_range").toLocalIterator()]
+
+
+def boundaries(keyed: DataFrame, total: int, ranges: int) -> list:
+    """Keys at which ranges begin, so that none is overfull. ``keyed``: _k (unique) and size.
+
+    What comes to the driver is bounded: about DRAWS keys a range at first, then DRAWS, twice that and so on for each
+    share of the few ranges still overfull. Draws end up dense enough to part any two rows, so the loop ends.
+    """
+    share = total / ranges or 1
+    drawn = _draws(keyed, share / DRAWS, 0)
+    step = max(1, round(len(drawn) / ranges))
+    bounds, number = drawn[step - 1 :: step], 0
+    while full := overfull(keyed, bounds, share):
+        number += 1
+        pool = keyed.where(_range_of(F.col("_k"), bounds).isin(full))
+        bounds = sorted({*bounds, *_draws(pool, share / (DRAWS << number), number)[:: max(1, DRAWS >> number)]})
+    return bounds
+
+
 def shard_rows(slim: DataFrame, shards: int) -> DataFrame:
     """``slim`` has _key, _id, _row (unique) and size >= 1; adds shard and slot. ``slim`` must be settled."""
     totals = slim.agg(F.sum("size"), F.count("*")).first()
     total = totals[0] or 0
     key = F.struct(F.col("_key"), F.coalesce(F.col("_id"), F.lit(-(2**63))).alias("_id"), F.col("_row"))
-    u = (F.shiftrightunsigned(F.xxhash64("_key", "_id", "_row"), 11)).cast("double") / float(2**53)
-    share = total / (shards * RANGES) or 1
-    bounds: list = []
-    full = None
-    for _ in range(ROUNDS):
-        # A draw in each share / DRAWS bytes of the ranges that are still too large; overlong documents surely.
-        pool = slim.withColumn("_k", key) if full is None else slim.withColumn("_k", key).where(_range_of(key, bounds).isin(full))
-        drawn = sorted(tuple(r[0]) for r in pool.where(u * (share / DRAWS) < F.col("size")).select("_k").toLocalIterator())
-        if not drawn:
-            break
-        step = max(1, round(len(drawn) / (shards * RANGES))) if full is None else DRAWS
-        bounds = sorted(set(bounds) | set(drawn[step - 1 :: step]))
-        sizes = {r[0]: (r[1], r[2]) for r in slim.groupBy(_range_of(key, bounds).alias("_range")).agg(F.sum("size"), F.count("*")).collect()}
-        full = [k for k, (n, rows) in sizes.items() if n > OVERFULL * share and rows > 1]
-        if not full:
-            break
+    bounds = boundaries(slim.withColumn("_k", key), total, min(max(shards * RANGES, math.ceil(totals[1] / ROWS)), MOST))
     ranged = slim.withColumn("_range", _range_of(key, bounds).cast("int"))
     line = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     stats = ranged.groupBy("_range").agg(F.sum("size").alias("_n"), F.count("*").alias("_c"))
-    # As many rows as ranges, a number fixed by the constants above: fit for one window and for a broadcast.
+    # As many rows as ranges, MOST and a few more: fit for one window and for a broadcast.
     stats = stats.select(
         "_range", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_bytes"), F.coalesce(F.sum("_c").over(line), F.lit(0)).alias("_rank")
     )

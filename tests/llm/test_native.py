@@ -1,9 +1,11 @@
 """Sharding, quality rules and mixing: against SQL, and on messy rows."""
 
+import bisect
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from blockstrata.llm import mixing, quality, queries, sharding
 
@@ -40,6 +42,29 @@ def test_hot_keys_are_subdivided(spark):
     assert len(per) == 16 and per.max() - per.min() <= 2 * rows["size"].max() and not rows.duplicated(["shard", "slot"]).any()
 
 
+@pytest.mark.parametrize("ranges", [64, 400])
+def test_no_divisible_range_is_overfull(spark, ranges):
+    """A third of the rows has one text, and a few rows are larger than many shares."""
+    rows = spark.range(20_000).selectExpr(
+        "if(id % 3 = 0, 'hot', md5(string(id))) as _key", "id as _id", "id as _row", "bigint(case when id % 5000 = 7 then 400000 when id % 3 = 0 then 1 + id % 4 * 90 else 1 + pow(id % 97, 2) / 40 end) as size"
+    )
+    keyed = rows.selectExpr("struct(_key, _id, _row) as _k", "size").cache()
+    total = keyed.agg(F.sum("size")).first()[0]
+    bounds = sharding.boundaries(keyed, total, ranges)
+    own = sorted((tuple(r[0]), r[1]) for r in keyed.collect())
+    sizes = {}
+    for k, size in own:
+        sizes.setdefault(bisect.bisect_right(bounds, k), []).append(size)
+    assert all(sum(v) - max(v) <= 2 * total / ranges for v in sizes.values())
+    assert bounds == sorted(set(bounds)) and len(bounds) < 4 * ranges
+
+
+def test_rounds_draw_anew(spark):
+    keyed = spark.range(4000).selectExpr("struct(md5(string(id)) as _key, id as _id, id as _row) as _k", "10L as size")
+    a, b = (set(sharding._draws(keyed, 100.0, n)) for n in (0, 1))
+    assert 300 < len(a) < 500 and 300 < len(b) < 500 and len(a & b) < 100
+
+
 def test_quality_on_messy_rows(messy, empty, labels):
     rows = quality.judge_documents(messy, labels).collect()
     assert len(rows) == messy.count()
@@ -79,6 +104,27 @@ def test_cutoffs_hold_their_risk(spark):
     assert rows[rows.doc_id >= 5000].kept.all()
 
 
+def test_certified_cutoffs_match_sql(spark, sf_dir, tmp_path):
+    """The tables themselves, often enough, with new ids and with noise in some, for labels to certify cutoffs: the SQL
+    must see them in two strata or more and agree on every row."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) between 130 and 600")
+    some = docs.crossJoin(spark.range(160).toDF("copy")).withColumn("new_id", F.col("doc_id") * 1000 + F.col("copy"))
+    noise = F.when(F.col("copy") % 12 == 0, F.concat(F.col("text"), F.lit(" "), F.repeat(F.lit("#$&|"), 100))).otherwise(F.col("text"))
+    some.select(F.col("new_id").alias("doc_id"), noise.alias("text"), F.when(F.col("doc_id") % 2 == 0, "en").alias("lang"), "source", "n_chars").write.parquet(str(tmp_path / "documents"))
+    some.selectExpr("new_id as doc_id", "if(copy % 12 = 0, 0, 1) as quality", "0 as toxic").write.parquet(str(tmp_path / "labels"))
+    docs, labels = (spark.read.parquet(str(tmp_path / t)) for t in ("documents", "labels"))
+    counted = quality.with_counts(docs)
+    cuts = quality.cutoffs(counted, labels, "doc_id", "lang").toPandas()
+    assert cuts.drop(columns="_stratum").notna().any(axis=1).sum() >= 2
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    want = dict(con.sql(f"SELECT doc_id, kept FROM ({queries.oracle_sql()['op7_quality']})").fetchall())
+    got = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in quality.judge_documents(docs, labels).collect()}
+    assert {d: k for d, (k, _) in got.items()} == want
+    assert sum(not k and not base for k, base in got.values()) > 100
+
+
 def test_binomial_tail():
     import math
 
