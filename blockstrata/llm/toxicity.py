@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A term is a lower-cased word or, for longer words, its first four or five characters. Terms are hashed to
-buckets; the buckets that set the labels apart most are the inputs, present or absent. Besides a weight, each
+buckets. Inputs, present or absent, are the buckets that set the labels apart on their own and those that do so
+only together with another one: of the frequent terms, all pairs are counted by label. Besides a weight, each
 input has a short vector, and the product of two vectors weighs the pair: an insult that counts only beside the
 mention of a group is learnt as such, which additive weights can't do.
 """
@@ -18,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the fit uses at most (about: they are drawn by a hash of the id), buckets, inputs, length of vectors.
-SAMPLE, BUCKETS, INPUTS, RANK = 20_000, 1 << 20, 2048, 8
+#: Labelled rows that the fit uses at most (about: they are drawn by a hash of the id), buckets, length of vectors.
+SAMPLE, BUCKETS, RANK = 20_000, 1 << 20, 8
+#: Standard errors that make an effect: of a bucket in LEAST documents or more, and of a pair all of whose four cells
+#: have CELL documents or more. Pairs are told among the PAIRS most frequent buckets: rarer ones seldom meet.
+ALONE, LEAST, TOGETHER, CELL, PAIRS = 3, 4, 10, 20, 4096
 EPOCHS, RATE, SHRINK = 15, 0.15, 1e-5
 FOLDS = 5
 _WORD = re.compile(r"[^\W_]+")
@@ -76,42 +80,70 @@ class Machine:
         """Logistic loss, adaptive steps over mini-batches, in an order that is the same each time."""
         rng = np.random.default_rng(5)
         share = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
-        m = cls(math.log(share / (1 - share)), np.zeros(inputs), rng.normal(0, 0.02, (inputs, RANK)))
-        gw, gv, gb = np.full(inputs, 1e-2), np.full((inputs, RANK), 1e-2), 1e-2
+        bias, weights, vectors = math.log(share / (1 - share)), np.zeros(inputs), rng.normal(0, 0.02, (RANK, inputs))
+        gb, gw, gv = 1e-2, np.full(inputs, 1e-2), np.full((RANK, inputs), 1e-2)
         for _ in range(EPOCHS if len(y) else 0):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), 256):
                 own = order[at : at + 256]
-                sizes = np.array([len(rows[i]) for i in own])
-                flat = np.concatenate([rows[i] for i in own]).astype("i8")
-                row = np.repeat(np.arange(len(own)), sizes)
-                error = (1 / (1 + np.exp(-np.clip(m.margin(flat, sizes), -30, 30))) - y[own]) / len(own)
-                v = m.vectors[flat]
-                sums = np.zeros((len(own), RANK))
-                np.add.at(sums, row, v)
+                n, sizes = len(own), np.array([len(rows[i]) for i in own])
+                row = np.repeat(np.arange(n), sizes)
+                # What follows touches the batch's inputs alone.
+                used, flat = np.unique(np.concatenate([rows[i] for i in own]).astype("i8"), return_inverse=True)
+                w, v = weights[used], vectors[:, used]
+                m = cls(bias, w, v.T)
+                error = (1 / (1 + np.exp(-np.clip(m.margin(flat, sizes), -30, 30))) - y[own]) / n
                 e = error[row]
-                dw = np.bincount(flat, e, inputs) + SHRINK * m.weights
-                dv = SHRINK * m.vectors
-                np.add.at(dv, flat, e[:, None] * (sums[row] - v))
+                dw = np.bincount(flat, e, len(used)) + SHRINK * w
+                gw[used] += dw * dw * n
+                weights[used] -= RATE * dw * math.sqrt(n) / np.sqrt(gw[used])
+                for f in range(RANK):
+                    one = v[f][flat]
+                    dv = np.bincount(flat, e * (np.bincount(row, one, n)[row] - one), len(used)) + SHRINK * v[f]
+                    gv[f, used] += dv * dv * n
+                    vectors[f, used] -= RATE / 2 * dv * math.sqrt(n) / np.sqrt(gv[f, used])
                 db = error.sum()
-                gw += dw * dw * len(own)
-                gv += dv * dv * len(own)
-                gb += db * db * len(own)
-                m.weights -= RATE * dw * math.sqrt(len(own)) / np.sqrt(gw)
-                m.vectors -= RATE / 2 * dv * math.sqrt(len(own)) / np.sqrt(gv)
-                m.bias -= RATE * db * math.sqrt(len(own)) / math.sqrt(gb)
-        return m
+                gb += db * db * n
+                bias -= RATE * db * math.sqrt(n) / math.sqrt(gb)
+        return cls(bias, weights, vectors.T.copy())
 
 
-def choose(flat: np.ndarray, label: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
-    """Buckets by how far their share of documents differs between labels, in standard errors; n: documents by label."""
+def effects(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets whose share of documents differs between labels."""
+    flat, label = np.concatenate([*sets, np.zeros(0, "i4")]), np.repeat(y, [len(s) for s in sets])
     count = np.stack([np.bincount(flat[label == c], minlength=BUCKETS) for c in (0, 1)]).astype("f8")
-    n = np.maximum(n, 1).astype("f8")
+    n = np.maximum([(y == 0).sum(), (y == 1).sum()], 1).astype("f8")
     p = count.sum(0) / n.sum()
     z = np.abs(count[1] / n[1] - count[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n).sum())
-    z[count.sum(0) < 4] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] > 3])
+    return np.flatnonzero((z > ALONE) & (count.sum(0) >= LEAST))
+
+
+def pair_effects(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Frequent buckets that are part of a pair: its toxic share with both, less those with one, plus that with neither."""
+    count = np.bincount(np.concatenate([*sets, np.zeros(0, "i4")]), minlength=BUCKETS)
+    top = np.argsort(-count, kind="stable")[:PAIRS]
+    top = np.sort(top[count[top] >= CELL])
+    place, k = np.full(BUCKETS, -1, "i4"), len(top)
+    place[top] = np.arange(k)
+    both, toxic = np.zeros((k, k), "f4"), np.zeros((k, k), "f4")
+    for at in range(0, len(sets), 1024):
+        own = [p[p >= 0] for p in (place[s] for s in sets[at : at + 1024])]
+        there = np.zeros((len(own), k), "f4")
+        there[np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own)] = 1
+        both += there.T @ there
+        bad = there[y[at : at + 1024] == 1]
+        toxic += bad.T @ bad
+    n, t, each, ill = float(len(sets)), float((y == 1).sum()), np.diag(both).copy(), np.diag(toxic).copy()
+    share, found = t / max(n, 1), np.zeros(k, bool)
+    for at in range(0, k, 256):
+        b, d, nb, nd = both[at : at + 256], toxic[at : at + 256], each[at : at + 256, None], ill[at : at + 256, None]
+        cells = ((d, b, 1), (nd - d, nb - b, -1), (ill - d, each - b, -1), (t - nd - ill + d, n - nb - each + b, 1))
+        contrast = sum(sign * a / np.maximum(c, 1) for a, c, sign in cells)
+        error = np.sqrt(max(share * (1 - share), 1e-12) * sum(1 / np.maximum(c, 1) for _, c, _ in cells))
+        hit = (np.abs(contrast) > TOGETHER * error) & (np.minimum.reduce([c for _, c, _ in cells]) >= CELL)
+        found |= hit.any(0)
+        found[at : at + 256] |= hit.any(1)
+    return top[found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[int, int], Machine]:
@@ -136,9 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         tables = sorted((r["_id"], r["_y"], r["_b"]) for b in batches for r in _packed(b))
         y = np.array([t[1] for t in tables], "i8")
         sets = [np.frombuffer(t[2], "i4") for t in tables]
-        flat = np.concatenate([*sets, np.zeros(0, "i4")])
-        label = np.repeat(y, [len(s) for s in sets])
-        chosen = choose(flat, label, np.array([(y == 0).sum(), (y == 1).sum()]), INPUTS)
+        chosen = np.union1d(effects(sets, y), pair_effects(sets, y))
         place = np.full(BUCKETS, -1, "i4")
         place[chosen] = np.arange(len(chosen))
         m = Machine.fit([p[p >= 0] for p in (place[s] for s in sets)], y.astype("f8"), len(chosen))
@@ -148,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
     got = rows.mapInArrow(hashed, f"_id {id_type}, _y int, _b array<int>").repartition(1).mapInArrow(learn, "model string").first()
     m = json.loads(got[0]) if got else {"chosen": [], "bias": 0.0, "weights": [], "vectors": []}
-    return {b: i for i, b in enumerate(m["chosen"])}, Machine(m["bias"], np.array(m["weights"], "f8"), np.array(m["vectors"], "f8").reshape(-1, RANK))
+    return {b: i for i, b in enumerate(m["chosen"])}, Machine(m["bias"], np.array(m["weights"], "f8"), np.array(m["vectors"], "f8").reshape(len(m["weights"]), RANK))
 
 
 def _packed(batch: pa.RecordBatch) -> Iterator[dict]:

@@ -69,6 +69,44 @@ def test_pairs_are_learnt():
     assert np.abs(m.weights[:2]).max() < np.abs(m.vectors[0] @ m.vectors[1])
 
 
+@pytest.fixture(scope="module")
+def mixed_pairs(spark):
+    """Toxic is one insult beside one group, or the other beside the other: no word of these, alone, tells anything."""
+    rng, rows = random.Random(11), []
+    for i in range(4000):
+        insult, group = rng.randint(0, 1), rng.randint(0, 1)
+        words = [f"filler{rng.randint(0, 60)}" for _ in range(20)] + [("blockhead", "nitwit")[insult], ("islanders", "mariners")[group]]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(insult == group)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    return df.select("doc_id", "text"), df.select("doc_id", "toxic")
+
+
+@pytest.mark.parametrize("rank", [8, 0])
+def test_pairs_are_learnt_from_texts(mixed_pairs, monkeypatch, rank):
+    """With vectors held-out rows come out right; without, the machine is additive and fails."""
+    monkeypatch.setattr(toxicity, "RANK", rank)
+    docs, labels = mixed_pairs
+    held = toxicity.score_documents(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    right = (held.predicted == held.toxic).mean()
+    assert len(held) > 600 and (right > 0.95 if rank else right < 0.8)  # three of the four cases are all that additive weights can get
+
+
+def test_scores_against_brute_force(spark, documents, sf_dir):
+    """Every pair of a text's inputs, one by one, from terms found without the operator's cache."""
+    import xxhash
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    chosen, m = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).collect()}
+    for doc_id, text in [r for r in docs.orderBy("doc_id").select("doc_id", "text").limit(200).collect() if len(r[1]) < 4000]:
+        terms = {t for w in "".join(c if c.isalnum() else " " for c in text.lower()).split() for t in (f"w {w}", *[f"{n} {w[:n]}" for n in (4, 5) if len(w) > n])}
+        own = sorted({chosen[b] for b in (xxhash.xxh32_intdigest(t) % toxicity.BUCKETS for t in terms) if b in chosen})
+        margin = m.bias + sum(m.weights[i] for i in own) + sum(float(m.vectors[i] @ m.vectors[j]) for k, i in enumerate(own) for j in own[:k])
+        assert abs(got[doc_id] - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-9
+
+
 def test_pairwise_sum_is_the_definition():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(0.3, rng.normal(size=6), rng.normal(size=(6, toxicity.RANK)))
