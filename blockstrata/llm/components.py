@@ -13,9 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
     for every node that is not itself a root.
 
     Alternates two steps until nothing changes: every node hands its least neighbour to its larger ones, then
-    to its smaller ones. A step is an aggregate (combined before the shuffle, so a hub costs no task more) and
-    a join with it; its result is written, so a lost executor costs a step at most. Neither edges nor
-    components come to the driver.
+    to its smaller ones. A step is an aggregate, combined before the shuffle, and a join with it; both are written, so
+    a lost executor costs a step at most, and a hub's edges, being read from a table on both sides of the join, are
+    shared between tasks where they skew it (adaptive execution). Neither edges nor components come to the driver.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -25,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = settle(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        discard(now)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        discard(now, least)
+        least = settle(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = settle(small.select("e.a", "e.b").where("a > b").distinct(), "edges")
-        discard(large)
+        discard(large, least)

@@ -27,15 +27,16 @@ from blockstrata.llm.workers import tidy
 SEED = 42
 #: Rows that a task compares at once, and the size above which one anchor's rows are split further.
 CHUNK, LARGE = 200_000, 2048
+#: Tasks that share a component's members.
+SALT = 32
 
 
 # -- fingerprints ------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, k: int, lanes: int = 1) -> list[int]:
-    """Majority bits of the XXH64 values of k-word shingles, lower-cased in A to Z; no words: 0. Lanes beyond the
-    first are majorities of values mixed from these."""
-    return _majority(_hashes(text, k), lanes)
+def fingerprint(text: str | None, k: int) -> int:
+    """Majority bits of the XXH64 values of k-word shingles, lower-cased in A to Z; no words: 0."""
+    return _majority(_hashes(text, k))
 
 
 def _hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
@@ -54,37 +55,31 @@ def _hashes(text: str | None, k: int) -> Iterator[np.ndarray]:
         yield np.array([digest(s, SEED) for s in cut], "<u8")
 
 
-def _majority(chunks: Iterable[np.ndarray], lanes: int = 1) -> list[int]:
-    count, ones = 0, np.zeros((lanes, 64), "i8")
+def _majority(chunks: Iterable[np.ndarray]) -> int:
+    count, ones = 0, np.zeros(64, "i8")
     for h in chunks:
         count += len(h)
-        for lane in range(lanes):
-            if lane:
-                h = (h ^ (h >> np.uint64(31))) * _MIX
-                h ^= h >> np.uint64(29)
-            octets = h.view("u1").reshape(-1, 8)
-            if len(h) < 256:
-                ones[lane] += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype="i8")
-            else:
-                ones[lane] += np.concatenate([np.bincount(b, minlength=256) @ _BITS for b in octets.T])
-    return np.packbits(2 * ones > count, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
-
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+        octets = h.view("u1").reshape(-1, 8)
+        if len(h) < 256:
+            ones += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype="i8")
+        else:
+            ones += np.concatenate([np.bincount(b, minlength=256) @ _BITS for b in octets.T])
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+
+
 _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype("i8")
 
 
-def fingerprints(docs: DataFrame, k: int, id_col: str, text_col: str, lanes: int = 1) -> DataFrame:
-    """_id, _key (of the text) and _fp, _fp1, ... (64 bits each, as signed longs)."""
-    names = ["_fp", *[f"_fp{i}" for i in range(1, lanes)]]
+def fingerprints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """_id, _key (of the text) and _fp (64 bits, as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), k, lanes) for t in batch.column(1)], "u8").reshape(-1, lanes).view("i8")
-            yield pa.RecordBatch.from_arrays([*batch.columns[::2], *[pa.array(fps[:, i].copy()) for i in range(lanes)]], ["_id", "_key", *names])
+            fps = np.array([fingerprint(t.as_py(), k) for t in batch.column(1)], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([*batch.columns[::2], pa.array(fps)], ["_id", "_key", "_fp"])
 
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
-    return slim.mapInArrow(run, ", ".join([f"_id {slim.schema['_id'].dataType.simpleString()}, _key bigint", *[f"{n} bigint" for n in names]]))
+    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _key bigint, _fp bigint")
 
 
 # -- anchors -----------------------------------------------------------------------------------------------------
@@ -128,17 +123,16 @@ def _moved(by: Column, part: Column, top: Column) -> Column:
 
 
 def _close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """The last axis has the words of a fingerprint."""
-    return np.bitwise_count(a ^ b).sum(-1, dtype="i4") <= bits
+    return np.bitwise_count(a ^ b) <= bits
 
 
 def _links(fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of close fingerprints among those of one anchor, block by block. A large set of short
-    fingerprints is split by bits + 1 blocks of the 64 bits, of which one is equal in any close pair."""
+    """Index pairs of close fingerprints among those of one anchor, block by block. A large set is
+    split by bits + 1 blocks of the 64 bits, of which one is equal in any close pair."""
     n, step = len(fps), LARGE // 2
-    cuts = [64 * i // (bits + 1) for i in range(bits + 2)] if n > LARGE and fps.shape[1] == 1 and bits < 16 else [0, 0]
+    cuts = [64 * i // (bits + 1) for i in range(bits + 2)] if n > LARGE and bits < 16 else [0, 0]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        key = (fps[:, 0] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+        key = (fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
         order = np.argsort(key, kind="stable")
         at = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] + np.uint64(1)))
         for lo, hi in zip(at, [*at[1:], n], strict=True):
@@ -168,21 +162,21 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(key: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by anchor, as stars of first words. Short runs are compared at once by shifting the rows."""
+    """Links among rows sorted by anchor, as stars. Short runs are compared at once by shifting the rows."""
     at = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
     size = np.diff(at, append=len(key))
     short = np.repeat(size <= 32, size)
-    found_a, found_b = [fps[:0, 0]], [fps[:0, 0]]
+    found_a, found_b = [fps[:0]], [fps[:0]]
     for shift in range(1, min(32, int(size.max()))):
         i = np.flatnonzero((key[shift:] == key[:-shift]) & short[shift:])
         i = i[_close(fps[i], fps[i + shift], bits)]
-        found_a.append(fps[i, 0])
-        found_b.append(fps[i + shift, 0])
+        found_a.append(fps[i])
+        found_b.append(fps[i + shift])
     for lo, n in zip(at[size > 32], size[size > 32], strict=True):
         own = fps[lo : lo + n]
         for i, j in _links(own, bits):
             # Only a forest of each block is kept: links never pile up as all pairs of a group.
-            a, b = _forest(own[i, 0], own[j, 0])
+            a, b = _forest(own[i], own[j])
             found_a.append(a)
             found_b.append(b)
     return _forest(np.concatenate(found_a), np.concatenate(found_b))
@@ -199,8 +193,8 @@ def _per_anchor(bits: int):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array(b.view("i8"))], ["a", "b"])
 
         for batch in batches:
-            words = [c.to_numpy(zero_copy_only=False).view("u8") for c in batch.columns[1:]]
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), np.stack(words, 1)))
+            key, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            held.append((key, fps.view("u8")))
             rows += batch.num_rows
             if rows < CHUNK:
                 continue
@@ -244,16 +238,17 @@ def _rooted(rows: DataFrame, edges: DataFrame, by: str, what: Column) -> DataFra
 
 
 def _classes(rows: DataFrame, edges: DataFrame, by: str, id_col: str) -> DataFrame:
-    rooted = _rooted(rows, edges, by, F.col("_id"))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = settle(rooted.join(least, "_root").select(by, "component_id"), "classes")
+    """The least ids go back to their components' members salted: one large component isn't one task's."""
+    rooted = settle(_rooted(rows, edges, by, F.col("_id")), "rooted")
+    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_n")).where("_n > 1")
+    least = least.select("_root", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"), "component_id", F.lit(True).alias("_met"))
+    named = rooted.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(least, ["_root", "_salt"], "left")
+    named = settle(named.select(by, F.when(F.col("_met"), F.col("component_id")).otherwise(F.col("_least")).alias("component_id")), "classes")
     return rows.join(named, by).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # -- sets of shingles --------------------------------------------------------------------------------------------
 
-#: Wide fingerprints, which bounds in the tests are made of: words that decide, others, and bits of the former.
-DECIDE, REACH, WIDE_BITS = 2, 4, 21
 #: Linked are sets of which PART of WHOLE shingles are common. One of BANDS bands of DEEP least hashes is equal in
 #: all but (1 - 0.8^4)^32 = 5e-8 of pairs at just 0.8, and in more of those above.
 PART, WHOLE, BANDS, DEEP = 4, 5, 32, 4
@@ -291,7 +286,7 @@ def _sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 node = xxhash.xxh64_intdigest(own.tobytes(), SEED)
                 new = node not in met
                 met.add(node)
-                out.append((_majority(chunks)[0], node, len(own), np.array(bands(own), "u8").view("i8") if new else None, (text or "") if new else None))
+                out.append((_majority(chunks), node, len(own), np.array(bands(own), "u8").view("i8") if new else None, (text or "") if new else None))
             fp, node, size, keys, text = zip(*out, strict=True) if out else [()] * 5
             longs = [pa.array(np.array(x, "u8").view("i8")) for x in (fp, node)]
             columns = [*batch.columns[::2], *longs, pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(text, pa.string())]
@@ -393,7 +388,8 @@ def similar_dups(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", t
     """As near_dups(), for texts whose sets of shingles are similar to 0.8 or more: common ones over all of both.
 
     Every link is an exact count of common shingles (of their XXH64 values). Candidates are found by bands of least
-    hashes, see BANDS. Texts without words have equal sets and are linked.
+    hashes, see BANDS. Texts without words, null ones too, have equal sets and are linked. Null ids, repeated rows,
+    empty tables and other columns are as in near_dups(). Sets are told apart by 64 bits of XXH64.
     """
     return _classes(*similar_links(docs, shingle=shingle, id_col=id_col, text_col=text_col), id_col)
 
@@ -406,7 +402,11 @@ def similar_links(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id",
 
 def drop_near_dups(docs: DataFrame, find=similar_links, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each component stays, that with the least id, null ids last, and of these with the least digest of
-    the text; of rows that repeat id and text, one. Ids that several components share are told apart by the text."""
+    the text; of rows that repeat id and text, one. Ids that several components share are told apart by the text.
+
+    Of all texts without words, null ones too, one row stays. The rows keep all their columns, whatever their names;
+    an empty table gives an empty result.
+    """
     rows, edges, by = find(docs, id_col=id_col, text_col=text_col, **how)
     rooted = _rooted(rows, edges, by, F.struct(F.col("_id").isNull().alias("last"), "_id", "_key"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("_least"))

@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent.parent.parent))
 import corpus_pipeline  # noqa: E402
 
-from blockstrata.llm import near_dup, oracle, pieces  # noqa: E402
+from blockstrata.llm import oracle, pieces  # noqa: E402
 from blockstrata.llm.mixing import mix_report  # noqa: E402
 
 
@@ -39,14 +39,6 @@ def test_quality(kept, sf_dir):
     assert {r["doc_id"] for r in kept["quality rules"].collect()} == want
 
 
-def brute_similar(rows):
-    """Roots by the definition: deciding words close, and a 32-bit part of the others within two bits."""
-    fps = np.array([near_dup.fingerprint(t, 5, near_dup.DECIDE + near_dup.REACH) for _, t in rows], "u8")
-    decide, reach = fps[:, : near_dup.DECIDE], np.ascontiguousarray(fps[:, near_dup.DECIDE :]).view("u4")
-    near = (np.bitwise_count(decide[:, None] ^ decide[None]).sum(-1) <= near_dup.WIDE_BITS) & (np.bitwise_count(reach[:, None] ^ reach[None]) <= 2).any(-1)
-    return near, np.bitwise_count(decide[:, None] ^ decide[None]).sum(-1) <= near_dup.WIDE_BITS
-
-
 def roots_of(near, ids):
     comp = list(range(len(ids)))
     while (new := [min(comp[j] for j in np.flatnonzero(near[i])) for i in range(len(ids))]) != comp:
@@ -54,24 +46,15 @@ def roots_of(near, ids):
     return {ids[c] for c in comp}
 
 
-def test_near_duplicates(kept):
-    """All that meet within two bits are linked; a few more pairs may meet at an anchor that lies between them."""
-    rows = sorted((r["doc_id"], r["text"]) for r in kept["quality rules"].collect())
-    ids = [i for i, _ in rows]
-    sure, most = (roots_of(n, ids) for n in brute_similar(rows))
-    got = kept["near duplicates"].collect()
-    assert most <= {r["doc_id"] for r in got} <= sure and len(got) == len({r["doc_id"] for r in got})
-    assert {r["doc_id"]: r["text"] for r in got}.items() <= dict(rows).items()
-
-
 def test_near_duplicates_by_similarity(kept):
     """Just the components of similarity 0.8 or more, counted on words."""
     rows = sorted((r["doc_id"], r["text"]) for r in kept["quality rules"].collect())
     words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t).split() for _, t in rows]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     near = np.array([[i == j or len(a & b) * 5 >= len(a | b) * 4 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
-    got = [r["doc_id"] for r in kept["near duplicates"].collect()]
-    assert sorted(got) == sorted(roots_of(near, [i for i, _ in rows]))
+    got = kept["near duplicates"].collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(roots_of(near, [i for i, _ in rows]))
+    assert {r["doc_id"]: r["text"] for r in got}.items() <= dict(rows).items()
 
 
 def test_repeated_passages(kept):
@@ -106,3 +89,16 @@ def test_tokens(kept):
 def test_run_is_the_stages(spark, sf_dir, kept):
     key = lambda df: sorted((r["doc_id"], tuple(r["ids"])) for r in df.collect())
     assert key(corpus_pipeline.run(spark, sf_dir)) == key(kept["tokens"])
+
+
+def test_odd_rows(spark, messy, labels, tmp_path):
+    """Nulls, repeated rows and extra columns go through all stages, also a table without rows."""
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (messy, messy.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            at = str(tmp_path / f"{name}-{docs.isEmpty()}")
+            stage(spark, docs, str(tmp_path)).write.parquet(at)
+            out = spark.read.parquet(at)
+            assert name == "tokens" or out.columns == docs.columns
+            assert docs.isEmpty() == out.isEmpty()
+            docs = out
