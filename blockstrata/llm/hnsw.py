@@ -2,7 +2,7 @@
 
 Equal vectors are one point that carries its least ids: as ties go to the smaller id, more are never asked
 for. Points are hashed to shards of bounded size; a task builds each shard's graph and keeps it as flat arrays
-of neighbours. Queries come in blocks; every block meets every shard once, and the shards' results are merged.
+of neighbours. Queries come to the graphs in blocks, and the shards' results are merged.
 """
 
 from __future__ import annotations
@@ -187,19 +187,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
     blocks = max(1, math.ceil(asked.count() / BLOCK))
     pile = asked.withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block")
     pile = pile.agg(F.sort_array(F.collect_list(F.struct("_id", "_v"))).alias("q"))
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = spread.join(pile, ["dim", "block"]).repartition("dim", "shard", "block")
+    # A task's rows are graphs, each followed by all blocks: a graph is read once and stays while queries pass.
+    places = graphs.select("dim", "shard")  # a row for each SHARD points
+    met = graphs.withColumn("block", F.lit(-1)).unionByName(pile.join(F.broadcast(places), "dim"), allowMissingColumns=True)
+    met = met.repartition(max(1, places.count()), "dim", "shard").sortWithinPartitions("dim", "shard", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, ids, sizes = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(c)[i] for c in batch.schema.names}
-                raw = lambda c, kind, r=r: np.frombuffer(r[c].as_buffer(), kind)
                 dim = r["dim"].as_py()
-                p = raw("points", "f8").reshape(-1, dim)
-                g = Graph(p, raw("links", "i4").reshape(-1, 2 * M), raw("first", "i4"), raw("top", "i4"), r["entry"].as_py())
-                ids, sizes, out = raw("ids", "i8").reshape(-1, k + 1), raw("sizes", "i4"), []
-                own = r["q"].values
+                if r["block"].as_py() < 0:
+                    raw = lambda c, kind, r=r: np.frombuffer(r[c].as_buffer(), kind)
+                    g = Graph(raw("points", "f8").reshape(-1, dim), raw("links", "i4").reshape(-1, 2 * M), raw("first", "i4"), raw("top", "i4"), r["entry"].as_py())
+                    ids, sizes = raw("ids", "i8").reshape(-1, k + 1), raw("sizes", "i4")
+                    continue
+                out, own = [], r["q"].values
                 q_ids, q_v = own.field("_id").to_pylist(), np.asarray(own.field("_v").flatten()).reshape(-1, dim)
                 for qid, q in zip(q_ids, q_v, strict=True):
                     near = g.search(q, max(SEARCH, k + 1))

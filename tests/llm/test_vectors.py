@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from blockstrata.llm import hnsw
 
@@ -34,6 +35,7 @@ def test_messy(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0], "x") for i in range(0, 40)] + [(100, [0.0, 2.0], None), (100, [0.0, 2.0], None), (101, None, "y"), (102, [0.0, 0.0], ""), (103, [nan, 1.0], ""), (104, [inf, 1.0], ""), (105, [None, 1.0], ""), (None, [1.0, 1.0], ""), (200, [1.0, 1.0, 1.0], ""), (300, [], "")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank string").withColumnRenamed("rank", "_v")
+    df = df.withColumns({c: F.lit("clash") for c in ("_id", "dim", "shard", "block", "points", "q", "score", "query_id", "_ids", "_r")})
     got = hnsw.nearest(df, df.where("vec_id % 100 = 0"), 10).collect()
     by = {}
     for r in got:
@@ -48,3 +50,14 @@ def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [4.0])], "vec_id bigint, embedding array<double>")
     got = hnsw.nearest(df, df.where("vec_id = 0")).collect()
     assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 1.0), (2, 2, 3.0)]
+
+
+def test_recall_of_the_query(spark):
+    """The registered query on its whole table, against brute force."""
+    from blockstrata.llm import queries
+
+    at = "/root/testdata/sf0.1"
+    rows = sorted((r[0], r[1]) for r in spark.read.parquet(f"{at}/embeddings.parquet").select("vec_id", "embedding").collect() if r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1]))
+    got = {(r["query_id"], r["vec_id"]) for r in queries.op4_hnsw(spark, at).collect()}
+    want = {(q, i) for q, near in brute(rows, [r for r in rows if r[0] % 100 == 0]).items() for i, _ in near}
+    assert len(got & want) >= 0.95 * len(want) > 0
