@@ -24,6 +24,8 @@ from blockstrata.llm.store import new_path, settle
 
 #: Bytes after which a task begins another archive; ranges nearer than GAP are read as one, up to SPAN bytes.
 ARCHIVE, GAP, SPAN = 256 << 20, 64 << 10, 8 << 20
+#: Repeated payloads that are broadcast at most, as digest and id: about 100 bytes each.
+SENT = 500_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, file string, offset bigint, length bigint"
@@ -91,7 +93,11 @@ def write_archives(pages: DataFrame, *, min_revisit: int = 0, id_col: str = "pag
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= min_revisit)
     best = large.groupBy(F.col("sha").alias("best_sha")).agg(F.max("page_id").alias("best"), F.count("*").alias("copies"))
-    best = best.where("copies > 1").drop("copies")
+    # What is small is sent to the pages, which stay where they are; beyond that pages are shuffled by digest, where
+    # adaptive execution splits a very common one.
+    best = settle(best.where("copies > 1").drop("copies"), "repeated")
+    if best.limit(SENT + 1).count() <= SENT:
+        best = F.broadcast(best)
     told = rows.join(best, (F.col("sha") == F.col("best_sha")) & (F.octet_length("payload") >= min_revisit), "left")
     revisit = F.col("best_sha").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     folder = new_path(pages.sparkSession, "warc")

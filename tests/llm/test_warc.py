@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockstrata.llm import warc
 
@@ -36,9 +37,12 @@ def test_pages(spark, sf_dir):
         assert f.read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
-def test_messy(spark):
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_messy(spark, monkeypatch, sent):
+    monkeypatch.setattr(warc, "SENT", sent)
     rows = [(1, "u", "same", "c"), (2, None, "same", "c"), (5, "u5", "same", None), (3, "v", None, "c"), (4, "w", "", "c"), (None, "n", "same", "c"), (None, "n", "alone", "c"), (9, "x\r\nWARC: 1", "long" * 100_000, "c"), (6, "r", "twice", "c"), (6, "r", "twice", "c")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, sha string")
+    pages = pages.withColumns({c: F.lit("clash") for c in ("payload", "best", "best_sha", "copies", "revisit", "file", "offset", "length", "record_type", "refers_to")})
     got = warc.archive_pages(pages).collect()
     kinds = sorted((-1 if r["page_id"] is None else r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["page_id"] != 6)
     assert kinds == [(-1, "response", None, 5), (-1, "revisit", 5, 4), (1, "revisit", 5, 4), (2, "revisit", 5, 4), (3, "revisit", 4, 0), (4, "response", None, 0), (5, "response", None, 4), (9, "response", None, 400_000)]
