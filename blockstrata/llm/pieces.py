@@ -5,14 +5,17 @@ equal length form a matrix of characters, and all rows advance a character at a
 looked up in the sorted hashes of the pieces; vectorised maxima over the piece's length keep the best score
 and a backpointer for every row.
 
-In a model of the merge kind, a piece may follow another only if merging the two pieces' characters gives just
-these two. Merges depend on nothing else, so a path in which all neighbours agree is the one that merging the
-whole unit gives; a step between others scores minus infinity. The result equals the reference encoder's.
+In a model of the unigram kind any path is open, and the best sum of the pieces' scores wins. In a model of the
+merge kind, a piece may follow another only if merging the two pieces' characters gives just these two. Merges
+depend on nothing else, so a path in which all neighbours agree is the one that merging the whole unit gives; a
+step between others scores minus infinity. The result equals the reference encoder's. As no two paths agree, a
+row has its maximum as soon as one step to a character is finite, and leaves that character's search.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import sys
 from collections.abc import Iterator
@@ -29,15 +32,16 @@ from blockstrata.llm.workers import tidy
 BLANK = "▁"
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Units that a worker remembers, slots for pairs of pieces, rows of one matrix; longer units go one by one.
+#: Units that a worker remembers, slots for pairs of pieces, rows of one matrix. Longer units, which few share a length
+#: with, are probed for all characters at once instead of for all rows.
 MEMORY, SLOTS, ROWS, LONG = 200_000, 1 << 20, 8192, 200
 
 
 class Pieces:
     """What encoding needs of a model; small (its vocabulary), so it travels with the tasks."""
 
-    def __init__(self, names: list[str], scores: list[float], byte_ids: dict[int, int], normal: list[bool]):
-        self.names, self.byte_ids = names, byte_ids
+    def __init__(self, names: list[str], scores: list[float], byte_ids: dict[int, int], normal: list[bool], merges: bool = True):
+        self.names, self.byte_ids, self.merges, self.scores = names, byte_ids, merges, np.array(scores, "f8")
         self.rank = {x: (-scores[i], i) for i, x in enumerate(names) if normal[i]}
         self.longest = max(map(len, self.rank))
         self.single = {x for x in self.rank if len(x) == 1}
@@ -49,7 +53,7 @@ class Pieces:
         self.surface = [x.replace(BLANK, " ").encode() for x in names]
         for byte, i in byte_ids.items():
             self.surface[i] = bytes([byte])
-        whole = [x for x in self.rank if self.merge(x) == [x]]
+        whole = [x for x in self.rank if not merges or self.merge(x) == [x]]
         hashes = np.array([self._hash(x) for x in whole], "u8")
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array([self.rank[x][1] for x in whole], "i8")[order]
@@ -80,6 +84,8 @@ class Pieces:
 
     def _agrees(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b may follow piece a, for arrays; a = -1 is a start. Pairs met before are in slots by hash."""
+        if not self.merges:
+            return np.ones(len(b), bool)
         codes = (a + 1) * len(self.names) + b
         slot = ((codes.astype("u8") * _BASE) >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype("i8")
         new = np.flatnonzero(self.slot_code[slot] != codes)
@@ -110,24 +116,25 @@ class Pieces:
         prefix = np.zeros((n + 1, m), "u8")
         for j in range(n):
             prefix[j + 1] = prefix[j] * _BASE + chars[j]
-        score = np.full((n + 1, m), -np.inf, "f4")
+        score = np.full((n + 1, m), -np.inf)
         score[0] = 0
         piece, back = np.full((n + 1, m), -1, "i4"), np.zeros((n + 1, m), "i4")
         for j in range(1, n + 1):
-            rest, here = np.arange(m), prefix[j]  # rows without a path to here: no two last pieces agree with what is before them
+            rest, here = np.arange(m), prefix[j]
             for size in range(min(self.longest, j), 0, -1):
                 own, ids = self._lookup(here - prefix[j - size][rest] * self.powers[size])
                 if not len(own):
                     continue
                 rows = rest[own]
-                step = np.where(self._agrees(piece[j - size][rows], ids), score[j - size][rows] - 1, -np.inf)
+                step = np.where(self._agrees(piece[j - size][rows], ids), score[j - size][rows] + self.scores[ids], -np.inf)
                 better = step > score[j][rows]
                 rows = rows[better]
                 score[j][rows], piece[j][rows], back[j][rows] = step[better], ids[better], size
-                open_ = score[j][rest] == -np.inf
-                rest, here = rest[open_], here[open_]
-                if not len(rest):
-                    break
+                if self.merges:
+                    open_ = score[j][rest] == -np.inf
+                    rest, here = rest[open_], here[open_]
+                    if not len(rest):
+                        break
         at, path, r = np.full(m, n), [], np.arange(m)
         while at.any():
             path.append(np.where(at > 0, piece[at, r], -1))
@@ -135,28 +142,32 @@ class Pieces:
         return [tuple(x[k:]) if (k := x.count(-1)) else tuple(x) for x in np.stack(path[::-1], 1).tolist()]
 
     def _long(self, unit: str) -> tuple[int, ...]:
-        """The same recurrence for one unit of any length."""
-        last, back, n = [-1], [0], len(self.names)
-        for j in range(1, len(unit) + 1):
-            last.append(-2)
-            back.append(1)
-            for size in range(1, min(self.longest, j) + 1):
-                found = self.rank.get(unit[j - size : j])
-                if found and last[j - size] != -2 and self._pair((last[j - size] + 1) * n + found[1]) and found[1] in self._whole:
-                    last[j], back[j] = found[1], size
-                    break
-        j, path = len(unit), []
+        """The same for one unit of any length: each size's substrings are probed together, and maxima follow from the hits."""
+        n, names = len(unit), len(self.names)
+        chars = np.frombuffer(unit.encode("utf-32-le"), "<u4").astype("u8") + np.uint64(1)
+        hits: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
+        h = np.zeros(n, "u8")
+        for size in range(1, min(self.longest, n) + 1):
+            h = h[: n - size + 1] * _BASE + chars[size - 1 :]
+            at, ids = self._lookup(h)
+            for i, x, s in zip(at.tolist(), ids.tolist(), self.scores[ids].tolist(), strict=True):
+                hits[i + size].append((size, x, s))
+        score, piece, back, agree = [0.0] + [-math.inf] * n, [-1] * (n + 1), [0] * (n + 1), {}
+        for j in range(1, n + 1):
+            for size, x, s in hits[j]:
+                s += score[j - size]
+                if s > score[j]:
+                    code = (piece[j - size] + 1) * names + x
+                    if self.merges and code not in agree:
+                        agree[code] = self._pair(code)
+                    if not self.merges or agree[code]:
+                        score[j], piece[j], back[j] = s, x, size
+        j, path = n, []
         while j:
-            path.append(last[j])
+            path.append(piece[j])
             j -= back[j]
         return tuple(reversed(path))
 
-    @property
-    def _whole(self) -> set[int]:
-        if not hasattr(self, "_whole_ids"):
-            self._whole_ids = set(self.ids.tolist())
-        return self._whole_ids
-
     def runs(self, unit: str) -> Iterator[str]:
         """Stretches of a unit that no merge crosses: unknown characters alone, and pairs that no piece has part."""
         at = 0
@@ -198,17 +209,53 @@ class Pieces:
         return b"".join([surface[i] for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a serialised message's fields; values of fixed width are left out."""
+
+    def varint(at: int) -> tuple[int, int]:
+        out = shift = 0
+        while True:
+            out, at, shift = out | (raw[at] & 127) << shift, at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return out, at
+
+    at = 0
+    while at < len(raw):
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            value, at = varint(at)
+            yield tag >> 3, value
+        elif tag & 7 == 2:
+            size, at = varint(at)
+            yield tag >> 3, raw[at : at + size]
+            at += size
+        else:
+            at += 8 if tag & 7 == 1 else 4
+
+
+def kind_of(model: bytes) -> int:
+    """1 for unigram, which is also what a model without that field is, 2 for merges: fixed by the format."""
+    training = next((v for n, v in _fields(model) if n == 2), b"")
+    return next((v for n, v in _fields(training) if n == 3), 1)
+
+
 def load(path: str) -> dict:
     """What Pieces is made from, read by the driver: plain values, as many as the vocabulary has."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    kind = kind_of(sp.serialized_model_proto())
+    if kind not in (1, 2):
+        raise ValueError("the model is neither of the unigram nor of the merge kind")
     if sp.decode(sp.encode("  a  b ")) != "  a  b ":
         raise ValueError("the model's normalisation isn't the identity with a blank in front")
     n = range(sp.get_piece_size())
     names = [sp.id_to_piece(i) for i in n]
     special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in n]
-    return {"names": names, "scores": [sp.get_score(i) for i in n], "byte_ids": {int(names[i][3:5], 16): i for i in n if sp.is_byte(i)}, "normal": [not x for x in special]}
+    return {
+        "names": names, "scores": [sp.get_score(i) for i in n], "byte_ids": {int(names[i][3:5], 16): i for i in n if sp.is_byte(i)},
+        "normal": [not x for x in special], "merges": kind == 2,
+    }
 
 
 def at_worker(value) -> Pieces:
@@ -231,7 +278,7 @@ def _coded(docs: DataFrame, pieces: dict, text_col: str, keep: list[str], ids: b
                 texts = part.column(part.num_columns - 1).to_pylist()
                 got = model.encode(texts)
                 n = pa.array([len(x) for x in got], pa.int64())
-                ok = pa.array([model.decode(x) == (t or "").replace(BLANK, " ") for x, t in zip(got, texts, strict=True)])
+                ok = pa.array([model.decode(x) == (t or "") for x, t in zip(got, texts, strict=True)])
                 if ids:
                     last = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in got])]), pa.int32()), pa.array(np.concatenate([*got, np.zeros(0, "i4")])))
                 else:
@@ -246,8 +293,9 @@ def _coded(docs: DataFrame, pieces: dict, text_col: str, keep: list[str], ids: b
 def encode_documents(docs: DataFrame, model: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_pieces, round_trip (decoding gives the text again) and ids.
 
-    A null or empty text has no pieces. A literal U+2581 is a blank, as the format has it. Characters outside
-    the vocabulary become byte pieces. Repeated rows are coded alike; an empty table gives an empty result.
+    A null or empty text has no pieces and comes back as an empty one. A literal U+2581 is a blank, as the format has
+    it, so a text with one does not come back: round_trip says so. Characters outside the vocabulary become byte
+    pieces. Repeated rows are coded alike; an empty table gives an empty result; other columns play no part.
     """
     return _coded(docs, load(model), text_col, list(keep), True)
 
@@ -258,7 +306,8 @@ def encode_digests(docs: DataFrame, model: str, *, text_col: str = "text", keep:
 
 
 def decode_documents(coded: DataFrame, model: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and text from ids; null ids give a null text."""
+    """``keep`` and text from ids; null ids give a null text, no ids an empty one. Bytes that are no UTF-8 become U+FFFD.
+    Repeated rows are decoded alike; an empty table gives an empty result; other columns play no part."""
     value = coded.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
