@@ -27,7 +27,7 @@ from blockstrata.llm.workers import tidy
 SEED = 42
 #: Rows that a task compares at once, and the size above which one anchor's rows are split further.
 CHUNK, LARGE = 200_000, 2048
-#: Tasks that share a component's members.
+#: Tasks that share the members of a component, or of a group of candidates.
 SALT = 32
 
 
@@ -373,7 +373,9 @@ def _alike(rows: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["root", "n", "_node", "own"])
         tidy()
 
-    wanted = settle(members.join(per, "root"), "wanted")
+    salted = per.select("root", "n", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    wanted = members.withColumn("_salt", F.pmod(F.xxhash64("_node"), F.lit(SALT)).cast("int")).join(salted, ["root", "_salt"])
+    wanted = settle(wanted.select("_node", "root", "n"), "wanted")
     texts = rows.where("_text IS NOT NULL").join(wanted, "_node").select("root", "n", "_node", "_text")
     sets = texts.mapInArrow(run, "root bigint, n int, _node bigint, own binary")
     block = F.pmod(F.xxhash64("_node"), F.col("n")).cast("int")
