@@ -109,10 +109,14 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.parse_log(_t(spark, sf_dir, "events").select(line.alias("line")))
 
 
-@query("SELECT 12.0::double AS \"count\", 2.0::double AS size, 30.0::double AS in_pack, 0.0::double AS packs, 4.0::double AS size_pack, 0.0::double AS prune_packable, 0.0::double AS garbage, 0.0::double AS size_garbage, 6.0::double AS total_mib")
-def count_objects(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    lines = ["count: 12", "size: 2048", "in-pack: 30", "packs: none", "size-pack: 4096", "unknown: 7", "no value"]
-    return history.parse_report(spark.createDataFrame([(x,) for x in lines], "line string"))
+@query("""SELECT count(*)::double AS "count", sum(n_chars) / 1024.0 AS size, count(DISTINCT source)::double AS in_pack, 0.0::double AS packs, max(n_chars) / 1024.0 AS size_pack, 0.0::double AS prune_packable, count(DISTINCT lang)::double AS garbage, 0.0::double AS size_garbage,
+sum(n_chars) / 1024.0 + max(n_chars) / 1024.0 AS total_mib FROM documents""")
+def count_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of lines 'key: value' on the documents, with a bad number, an unknown key and a line of neither."""
+    told = {"count": F.count("*"), "size": F.sum("n_chars"), "in-pack": F.count_distinct("source"), "size-pack": F.max("n_chars"), "garbage": F.count_distinct("lang"), "unknown": F.min("n_chars")}
+    pairs = [F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in told.items()]
+    lines = _t(spark, sf_dir, "documents").agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select(F.concat_ws(": ", "p.k", "p.v").alias("line"))
+    return history.parse_report(lines.unionByName(spark.createDataFrame([("packs: none",), ("no value",)], "line string")))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN NULL ELSE ((p_size % 10 + 3) - p_size % 10) * 100.0 / (p_size % 10) END::double AS growth FROM part")
@@ -344,27 +348,28 @@ def region_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_x", "chunk_z", F.sha2("t", 256).alias("digest"))
 
 
-@query("SELECT p_partkey, 1 + p_size % 3 AS palette, list_sum(list_transform(range(4096), lambda i: (i * p_size) % (1 + p_size % 3)))::bigint AS total FROM part")
+@query("SELECT p_partkey, 1 + p_size % 3 AS palette, list_sum(list_transform(range(4096), lambda i: (i + 1) * ((i * p_size) % (1 + p_size % 3))))::bigint AS blocks, list_sum(list_transform(range(64), lambda i: (i + 1) * ((i * p_partkey) % (1 + p_partkey % 3))))::bigint AS biomes FROM part")
 def section_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells as containers of 4,096 block states, encoded and decoded through registry, palette and packed rows."""
+    """Cells as containers of 4,096 block states and 64 biomes, encoded and decoded through registry, palette and packed
+    rows; in the sums every cell's place counts."""
     import numpy as np
 
     from blockstrata.operators.registry import Block, Registry
-    from blockstrata.operators.sections import Section, dump_sections, load_sections, read_blocks, write_blocks
+    from blockstrata.operators.sections import Section, dump_sections, load_sections, read_biomes, read_blocks, write_biomes, write_blocks
 
-    registry = Registry("test", [Block(f"b{i}", i, i) for i in range(3)], {"plains": 0})
+    registry = Registry("test", [Block(f"b{i}", i, i) for i in range(3)], {"plains": 0, "river": 1, "taiga": 2})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for key, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cells = (np.arange(4096) * size) % (1 + size % 3)
-                section = Section(0, np.zeros(64, "i8"), read_blocks(write_blocks(cells, registry), registry))
-                again = load_sections(dump_sections([section]))[0].block_state
-                out.append((key, 1 + size % 3, int(again.sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["p_partkey", "palette", "total"])
+                blocks, biomes = np.arange(4096) * size % (1 + size % 3), np.arange(64) * key % (1 + key % 3)
+                section = Section(0, read_biomes(write_biomes(biomes, registry), registry), read_blocks(write_blocks(blocks, registry), registry))
+                again = load_sections(dump_sections([section]))[0]
+                out.append((key, 1 + size % 3, *[int(c @ np.arange(1, len(c) + 1)) for c in (again.block_state, again.biome)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["p_partkey", "palette", "blocks", "biomes"])
 
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey bigint, palette int, total bigint")
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey bigint, palette int, blocks bigint, biomes bigint")
 
 
 @query("SELECT save_dir, branch FROM (SELECT source AS save_dir, lang AS branch, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source <> 'src3') WHERE n = 1")

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from blockstrata.queries import QUERIES, SQL
+from blockstrata.save_queries import QUERIES, SQL
 
 
 @pytest.fixture(scope="session")
