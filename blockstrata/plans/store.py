@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from blockstrata.functions.hashing import EMPTY_TREE, blob_oid, commit_oid, root_trees
 from blockstrata.functions.paths import matches, safe_key
 
+#: New contents whose ids are broadcast at most.
+SENT = 200_000
 TABLES = {
     "blobs": "oid string, size bigint, content binary",
     "tree_entries": "commit_id string, path string, oid string",
@@ -80,8 +82,9 @@ class Store:
     # -- writing -------------------------------------------------------------------------------------------------
 
     def commit(self, entries: DataFrame, message: str, *, branch: str | None = "main", author: str = "nobody <nobody@localhost>",
-               ts: datetime | None = None, init: bool = False, seq: str | None = None) -> str:
-        """A snapshot of ``entries`` (key, content) alone: files of the parent aren't inherited.
+               ts: datetime | None = None, init: bool = False, seq: str | None = None, inherit: str | None = None) -> str:
+        """A snapshot of ``entries`` (key, content) alone, or, with ``inherit``, beside that commit's other files, whose
+        contents aren't read.
 
         Of rows with one key the one with the largest ``seq`` counts. Content that is stored already is not
         written again. Returns the commit's id; without a branch nothing refers to it.
@@ -95,23 +98,31 @@ class Store:
         staged = last_write(staged, "path", F.col("_seq")) if seq else staged
         # Contents may come from decoding whole saves: they are made once, and what follows reads them from here.
         stage = self._path(f"_staged-{uuid.uuid4().hex}")
-        staged.select("path", blob_oid(F.col("content")).alias("oid"), "content").write.parquet(stage)
+        staged.select("path", blob_oid(F.col("content")).alias("oid"), "content", F.monotonically_increasing_id().alias("row")).write.parquet(stage)
         try:
-            return self._commit(self.spark.read.schema("path string, oid string, content binary").parquet(stage), message, branch, author, ts, parents)
+            hashed = self.spark.read.schema("path string, oid string, content binary, row bigint").parquet(stage)
+            tree = hashed.select("path", "oid").distinct()
+            if inherit:
+                tree = tree.unionByName(self.listing(inherit).join(tree.select("path"), "path", "left_anti"))
+            return self._commit(hashed, tree, message, branch, author, ts, parents)
         finally:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(stage)
             at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
-    def _commit(self, hashed: DataFrame, message: str, branch: str | None, author: str, ts: datetime, parents: list[str]) -> str:
-        known = self.table("blobs").select("oid")
-        new = hashed.join(known, "oid", "left_anti").groupBy("oid").agg(F.first("content").alias("content"))
-        new.select("oid", F.octet_length("content").cast("long").alias("size"), "content").write.mode("append").parquet(self._path("blobs"))
-        tree = root_trees(hashed.select(F.lit(0).alias("one"), "path", "oid"), ["one"]).first()
+    def _commit(self, hashed: DataFrame, listed: DataFrame, message: str, branch: str | None, author: str, ts: datetime, parents: list[str]) -> str:
+        # Which contents are new is told by ids alone. While these are few they are sent to the contents, which stay
+        # where they are; beyond that both are shuffled.
+        new = hashed.groupBy("oid").agg(F.min("row").alias("row")).join(self.table("blobs").select("oid"), "oid", "left_anti")
+        if new.limit(SENT + 1).count() <= SENT:
+            new = F.broadcast(new)
+        fresh = hashed.join(new, ["oid", "row"], "left_semi")
+        fresh.select("oid", F.octet_length("content").cast("long").alias("size"), "content").write.mode("append").parquet(self._path("blobs"))
+        tree = root_trees(listed.select(F.lit(0).alias("one"), "path", "oid"), ["one"]).first()
         tree_oid = tree["tree_oid"] if tree else EMPTY_TREE
         row = self.spark.createDataFrame([(tree_oid, parents, message, author, ts)], "tree_oid string, parents array<string>, message string, author string, ts timestamp")
         row = row.withColumn("commit_id", commit_oid(F.col("tree_oid"), F.col("parents"), F.col("author"), F.unix_timestamp("ts"), F.col("message")))
         commit_id = row.first()["commit_id"]
-        hashed.select(F.lit(commit_id).alias("commit_id"), "path", "oid").sortWithinPartitions("path").write.mode("append").parquet(self._path("tree_entries"))
+        listed.select(F.lit(commit_id).alias("commit_id"), "path", "oid").sortWithinPartitions("path").write.mode("append").parquet(self._path("tree_entries"))
         row.select(*self.table("commits").columns).write.mode("append").parquet(self._path("commits"))
         if branch:
             if (self.resolve(branch) or None) != (parents[0] if parents else None):
@@ -156,9 +167,8 @@ class Store:
         self.init()
         other.table("blobs").join(self.table("blobs").select("oid"), "oid", "left_anti").write.mode("append").parquet(self._path("blobs"))
         fresh = other.table("commits").join(self.table("commits").select("commit_id"), "commit_id", "left_anti")
-        ids = [r[0] for r in fresh.select("commit_id").toLocalIterator()]
-        other.table("tree_entries").where(F.col("commit_id").isin(ids)).write.mode("append").parquet(self._path("tree_entries"))
-        other.table("commits").where(F.col("commit_id").isin(ids)).write.mode("append").parquet(self._path("commits"))
+        other.table("tree_entries").join(fresh.select("commit_id"), "commit_id", "left_semi").select("commit_id", "path", "oid").write.mode("append").parquet(self._path("tree_entries"))
+        fresh.select(*self.table("commits").columns).write.mode("append").parquet(self._path("commits"))
         for r in other.refs().toLocalIterator():
             if self.resolve(r["ref"]) != r["commit_id"]:
                 self._set_ref(r["ref"], r["commit_id"], r["updated_at"])

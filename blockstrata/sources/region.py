@@ -33,7 +33,10 @@ def read_region(data: bytes, region_x: int, region_z: int) -> Region | None:
         at = (where >> 8) * SECTOR
         if at + 5 > len(data):
             raise ValueError(f"chunk {x},{z} lies beyond the end of its region")
-        body = data[at + 5 : at + 4 + max(int.from_bytes(data[at : at + 4]), 1)]
+        end = at + 4 + max(int.from_bytes(data[at : at + 4]), 1)
+        if end > len(data):
+            raise ValueError(f"chunk {x},{z} is shorter than its stated length")
+        body = data[at + 5 : end]
         kind = data[at + 4]
         try:
             if kind == ZLIB:

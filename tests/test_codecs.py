@@ -183,6 +183,9 @@ def test_region_edges():
     made[3 * 4096 + 4] = 9
     with pytest.raises(ValueError, match="unknown compression"):
         region.read_region(bytes(made), -2, -3)
+    cut = region.write_region(0, 0, bytes(4096), [(0, 0, np.random.default_rng(0).bytes(9000))])
+    with pytest.raises(ValueError, match="stated length"):
+        region.read_region(cut[: 2 * 4096 + 3000], 0, 0)
     with pytest.raises(ValueError, match="outside"):
         region.write_region(0, 0, bytes(4096), [(32, 0, b"")])
     with pytest.raises(ValueError, match="sectors"):

@@ -18,7 +18,9 @@ def store(spark, tmp_path):
     return Store(spark, str(tmp_path / "store"))
 
 
-def test_commits(spark, store, tmp_path):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_commits(spark, store, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr("blockstrata.plans.store.SENT", sent)
     assert not store.exists()
     with pytest.raises(ValueError, match="begin it with init"):
         store.commit(_e(spark, {"a": b""}), "x")
@@ -38,6 +40,9 @@ def test_commits(spark, store, tmp_path):
     changes = {r["path"]: r["change"] for r in history.diff(store.listing(one), store.listing("main")).collect()}
     assert changes == {"a.txt": "D", "src/hello.txt": "D", "b.txt": "A", "copy": "="}
     assert [r["message"] for r in history.log(store.table("commits")).collect()] == ["second", "initial"]
+    three = store.commit(_e(spark, {"c.txt": b"v3", "copy": b"v4"}), "third", branch=None, inherit="main", ts=t(3))
+    assert {r["key"]: bytes(r["content"]) for r in store.entries(three).collect()} == {"b.txt": b"v2", "c.txt": b"v3", "copy": b"v4"}
+    assert store.table("blobs").count() == 5
     dangling = store.commit(_e(spark, {}), "empty", branch=None, ts=t(3))
     assert store.table("commits").where(F.col("commit_id") == dangling).first()["tree_oid"] == "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
     small = store.compact(str(tmp_path / "small"), 2)
@@ -45,10 +50,13 @@ def test_commits(spark, store, tmp_path):
     other = Store(spark, str(tmp_path / "other"))
     other.pull(store)
     other.pull(store)
-    assert other.resolve("main") == two and other.table("blobs").count() == 3 and other.listing("main").count() == 2
+    assert other.resolve("main") == two and other.table("blobs").count() == 5 and other.listing("main").count() == 2
 
 
 def test_last_write_wins(spark, store):
+    twice = spark.createDataFrame([("k", b"same")] * 2, "key string, content binary")
+    store.commit(twice, "m", branch="twice", init=True)
+    assert store.entries("twice").count() == store.table("blobs").count() == 1
     rows = spark.createDataFrame([("k", b"old", 1), ("k", b"new", 2)], "key string, content binary, seq int")
     store.commit(rows, "m", init=True, seq="seq")
     assert bytes(store.entries("main").first()["content"]) == b"new"
