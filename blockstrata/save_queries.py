@@ -174,12 +174,12 @@ def pulled_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs.join(other.table("commits").agg(F.count("*").alias("commits")))
 
 
-@query(f"SELECT {_KEY} AS path, {_BLOB} AS oid FROM documents WHERE doc_id < 100")
+@query(f"SELECT {_KEY} AS path, {_BLOB} AS oid FROM documents")
 def git_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A branch exported to a git repository, and what git lists there."""
     from blockstrata.sources import git_objects
 
-    store, bare = _store(spark, _files(spark, sf_dir).where("doc_id < 100")), scratch(spark, "git")
+    store, bare = _store(spark, _files(spark, sf_dir)), scratch(spark, "git")
     git_objects.export(store, "main", bare.removeprefix("file://"))
     return git_objects.listing(spark, bare.removeprefix("file://"), "main")
 
