@@ -1,4 +1,4 @@
-"""python -m blockstrata: flatten, unflatten, commit, checkout, log, repack, chunk and section."""
+"""python -m blockstrata: flatten, unflatten, commit, backup, checkout, log, repack, chunk and section."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from blockstrata.operators import flatten as fl
 from blockstrata.operators.registry import Registry
 from blockstrata.operators.sections import section_bytes, split_chunk
 from blockstrata.plans import history
-from blockstrata.plans.store import Store, checkout_folder, commit_folder, set_aside
+from blockstrata.plans.store import Store, backup_folder, checkout_folder, commit_folder, set_aside
 from blockstrata.session import session
 from blockstrata.sources import nbt
 from blockstrata.sources.files import scan
@@ -36,6 +36,10 @@ def _arguments() -> argparse.ArgumentParser:
     p.add_argument("-m", "--message", required=True)
     p.add_argument("--init", action="store_true")
     p.add_argument("--author", default="nobody <nobody@localhost>")
+    p = add("backup", "save", "store", registry=True)
+    p.add_argument("-b", "--branch", default="main")
+    p.add_argument("-m", "--message", required=True)
+    p.add_argument("--pack", help="compacted store that gets what it lacks")
     add("checkout", "store", "commit", "save", registry=True)
     add("log", "store").add_argument("-n", type=int, default=50)
     add("repack", "store", "out")
@@ -61,6 +65,8 @@ def main(argv: list[str] | None = None) -> int:
         print(commit_folder(store, a.save, registry, a.message, branch=a.branch, init=a.init, author=a.author))
         after = _mib(store)
         print(f"{before:.2f} MiB, {after:.2f} MiB" + (f" ({(after - before) / before:+.2%})" if before else ""))
+    elif a.what == "backup":
+        print(backup_folder(Store(spark, a.store), a.save, registry, a.message, a.pack, branch=a.branch))
     elif a.what == "checkout":
         set_aside(spark, a.save)
         print(checkout_folder(Store(spark, a.store), a.commit, a.save, registry), "files")

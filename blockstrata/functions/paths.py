@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from blockstrata.functions.packing import local_of, morton
+
 #: Pattern of a key, codec. No key matches two of them.
 ROUTES = (
     ("**/*.png", "raw"), ("**/*.json", "raw"), ("**/*.dat", "gzip"),
@@ -72,6 +74,15 @@ def strip_suffix(key: Column, suffix: str) -> Column:
     return F.when(F.endswith(key, F.lit(suffix)), F.substring(key, F.lit(1), F.length(key) - len(suffix)))
 
 
+def layout(path: Column) -> Column:
+    """An order in which similar contents are neighbours: chunks of a region go by kind and then along a Morton curve,
+    whatever else by its path."""
+    chunk = path.rlike(r"/c\.-?\d+\.-?\d+\.(nbt|dump)$")
+    x, z = name_xz(basename(path))
+    folder = F.when(chunk, F.regexp_replace(path, "[^/]*$", "")).otherwise(path)
+    return F.struct(folder.alias("folder"), F.when(chunk, morton(local_of(x), local_of(z), 5)).alias("place"), path.alias("path"))
+
+
 def name_xz(name: Column) -> tuple[Column, Column]:
     """Second and third dotted part of a name as numbers: r.-1.0.mca is (-1, 0); null if they aren't."""
     part = lambda i: F.get(F.split(name, r"\."), F.lit(i)).try_cast("int")

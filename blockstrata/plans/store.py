@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockstrata.functions.hashing import EMPTY_TREE, blob_oid, commit_oid, root_trees
-from blockstrata.functions.paths import matches, safe_key
+from blockstrata.functions.paths import layout, matches, safe_key
 
 #: New contents whose ids are broadcast at most.
 SENT = 200_000
@@ -70,19 +70,19 @@ class Store:
             row = rows[0] if len(rows) == 1 else None
         return row[0] if row else None
 
-    def parents(self, branch: str, init: bool) -> list[str]:
-        """The branch must exist, or else be begun by ``init``, not both."""
+    def parents(self, branch: str, init: bool | None) -> list[str]:
+        """The branch must exist, or else be begun by ``init``, not both; None begins it where it isn't there."""
         tip = self.resolve(branch) if self.exists() else None
         if tip and init:
             raise ValueError(f"branch {branch} exists already")
-        if not tip and not init:
+        if not tip and init is False:
             raise ValueError(f"no branch {branch}; begin it with init")
         return [tip] if tip else []
 
     # -- writing -------------------------------------------------------------------------------------------------
 
     def commit(self, entries: DataFrame, message: str, *, branch: str | None = "main", author: str = "nobody <nobody@localhost>",
-               ts: datetime | None = None, init: bool = False, seq: str | None = None, inherit: str | None = None) -> str:
+               ts: datetime | None = None, init: bool | None = False, seq: str | None = None, inherit: str | None = None) -> str:
         """A snapshot of ``entries`` (key, content) alone, or, with ``inherit``, beside that commit's other files, whose
         contents aren't read.
 
@@ -153,13 +153,21 @@ class Store:
     # -- compaction ----------------------------------------------------------------------------------------------
 
     def compact(self, out: str, files: int = 8) -> Store:
-        """The store's reachable content in few files elsewhere, blobs sorted by path so that similar ones are neighbours."""
-        target = Store(self.spark, out)
+        """The store's reachable content in few files elsewhere, blobs in an order in which similar ones are neighbours.
+
+        Where ``out`` is such a store already, only what it lacks is read and added, in files of its own; the others
+        stay as they are. Commits come after their contents, so a repeat after a failure adds what is still missing.
+        """
+        target = Store(self.spark, out).init()
+        lacking = lambda table, *by: self.table(table).join(target.table(table).select(*by), list(by), "left_anti").select(*self.table(table).columns)
+        commits = lacking("commits", "commit_id")
+        listed = self.table("tree_entries").join(commits.select("commit_id"), "commit_id", "left_semi")
         place = self.table("tree_entries").groupBy("oid").agg(F.min("path").alias("_p"))
-        blobs = self.table("blobs").dropDuplicates(["oid"]).join(place, "oid").repartitionByRange(files, "_p").sortWithinPartitions("_p").drop("_p")
-        blobs.write.option("compression", "zstd").parquet(target._path("blobs"))
-        for table in ("tree_entries", "commits", "refs"):
-            self.table(table).coalesce(files).write.option("compression", "zstd").parquet(target._path(table))
+        blobs = lacking("blobs", "oid").dropDuplicates(["oid"]).join(place, "oid").withColumn("_p", layout(F.col("_p")))
+        blobs = blobs.repartitionByRange(files, "_p").sortWithinPartitions("_p").select("oid", "size", "content")
+        tables = {"blobs": blobs, "tree_entries": listed.select("commit_id", "path", "oid").coalesce(files), "commits": commits.coalesce(1), "refs": lacking("refs", "ref", "commit_id", "seq").coalesce(1)}
+        for name, rows in tables.items():
+            rows.write.mode("append").option("compression", "zstd").parquet(target._path(name))
         return target
 
     def pull(self, other: Store) -> None:
@@ -181,6 +189,14 @@ def commit_folder(store: Store, save: str, registry, message: str, **how) -> str
     return store.commit(flatten(scan(store.spark, save), registry), message, **how)
 
 
+def backup_folder(store: Store, save: str, registry, message: str, packed: str | None = None, **how) -> str:
+    """A commit that begins its branch where it isn't there; then the compacted store ``packed`` gets what it lacks."""
+    commit_id = commit_folder(store, save, registry, message, **{"init": None, **how})
+    if packed:
+        store.compact(packed)
+    return commit_id
+
+
 def checkout_folder(store: Store, commit: str, save: str, registry) -> int:
     """Restore a snapshot to a folder that isn't there yet; number of files."""
     from blockstrata.operators.flatten import unflatten

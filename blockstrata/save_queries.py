@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockstrata.functions import packing
+from blockstrata.functions.paths import layout
 from blockstrata.operators.flatten import chunks, flatten, sections, unflatten
 from blockstrata.operators.registry import Block, Registry
 from blockstrata.operators.sections import Section, dump_sections, load_sections, section_bytes, write_biomes, write_blocks
@@ -184,6 +185,29 @@ def git_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return git_objects.listing(spark, bare.removeprefix("file://"), "main")
 
 
+@query(f"WITH {_TWO} SELECT path, sha1(encode('blob ' || octet_length(encode(text)) || chr(0) || text)) AS oid FROM o")
+def git_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch of two commits exported at once, and what git lists at the first one."""
+    from blockstrata.sources import git_objects
+
+    (store, first), bare = _two(spark, sf_dir), scratch(spark, "git").removeprefix("file://")
+    git_objects.export(store, "main", bare, history=True)
+    return git_objects.listing(spark, bare, first)
+
+
+@query(f"WITH {_TWO} SELECT 1 AS n, path AS key, sha256(text) AS digest FROM o UNION ALL SELECT 2, path, sha256(text) FROM n")
+def repacked_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both snapshots of a compacted store that got the second one, and what it needs, later."""
+    store, first = _two(spark, sf_dir)
+    early = Store(spark, scratch(spark, "early"))
+    early.commit(store.entries(first), "first", init=True, ts=_WHEN)
+    out = scratch(spark, "compact")
+    early.compact(out)
+    packed = store.compact(out)
+    at = lambda n, commit: packed.entries(commit).select(F.lit(n).alias("n"), "key", F.sha2("content", 256).alias("digest"))
+    return at(1, first).unionByName(at(2, "main"))
+
+
 @query("SELECT save_dir, branch FROM (SELECT source AS save_dir, max_by(lang, -doc_id) AS branch FROM documents GROUP BY source) WHERE save_dir <> 'src1' UNION ALL SELECT 'new', 'main'")
 def profiles_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles written as JSON, read, one added and one deleted."""
@@ -274,6 +298,13 @@ def region_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select(strip_suffix(F.col("key"), SENTINEL).alias("region"), F.sha2("content", 256).alias("digest")).where("region is not null")
 
 
+@query("SELECT doc_id, 'w/region/r.0.0.mca/sections/' AS folder, list_sum(list_transform(range(5), lambda b: (((doc_id % 32) >> b) & 1) * (1 << (2 * b)) + ((((doc_id // 64) % 32) >> b) & 1) * (2 << (2 * b))))::bigint AS place FROM documents")
+def chunk_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where chunks come in a compacted store."""
+    name = F.concat(F.lit("w/region/r.0.0.mca/sections/c."), (F.col("doc_id") % 64 - 32).cast("string"), F.lit("."), F.floor(F.col("doc_id") / 64).cast("string"), F.lit(".dump"))
+    return _t(spark, sf_dir, "documents").select("doc_id", layout(name).alias("at")).select("doc_id", "at.folder", "at.place")
+
+
 @query(f"SELECT {_PLACE} FROM documents")
 def region_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a folder of region files, by the data source."""

@@ -73,9 +73,22 @@ def entries(spark: SparkSession, git_dir: str, commit: str, tasks: int = 8) -> D
     return listing(spark, git_dir, commit).repartition(tasks).mapInArrow(fetch, SCHEMA)
 
 
-def export(store: Store, branch: str, git_dir: str) -> str:
+def _lacking(store: Store, commit_id: str, git_dir: str) -> list[str]:
+    """Commits from ``commit_id`` back that a repository lacks. Ids of commits, one per snapshot, come to the driver."""
+    parents = {r["commit_id"]: r["parents"] for r in store.table("commits").select("commit_id", "parents").toLocalIterator()}
+    there, out, ahead = set(git(git_dir, "rev-list", "--all").decode().split()), [], [commit_id]
+    while ahead:
+        at = ahead.pop()
+        if at not in there:
+            there.add(at)
+            out.append(at)
+            ahead += parents[at]
+    return out
+
+
+def export(store: Store, branch: str, git_dir: str, *, history: bool = False) -> str:
     """A branch's last commit as loose objects of a repository, and the branch set to it; earlier commits must be
-    there already, or come first. Returns the commit's id."""
+    there already, or come along with ``history``: all that the repository lacks, at once. Returns the commit's id."""
     spark = store.spark
     commit_id = store.resolve(branch)
     if not commit_id:
@@ -83,11 +96,16 @@ def export(store: Store, branch: str, git_dir: str) -> str:
     if not exists(git_dir):
         init(git_dir)
     row = store.table("commits").where(F.col("commit_id") == commit_id)
-    for parent in row.first()["parents"]:
-        git(git_dir, "cat-file", "-e", f"{parent}^{{commit}}")
-    tree = store.listing(commit_id)
+    if history:
+        wanted = F.broadcast(spark.createDataFrame([(c,) for c in _lacking(store, commit_id, git_dir)], "commit_id string"))
+        row = store.table("commits").join(wanted, "commit_id", "left_semi")
+        tree = store.table("tree_entries").join(wanted, "commit_id", "left_semi").distinct()
+    else:
+        for parent in row.first()["parents"]:
+            git(git_dir, "cat-file", "-e", f"{parent}^{{commit}}")
+        tree = store.listing(commit_id).withColumn("commit_id", F.lit(commit_id))
     blobs = store.table("blobs").join(tree.select("oid").distinct(), "oid", "left_semi").select(F.lit("blob").alias("kind"), "oid", F.col("content").alias("body"))
-    levels = [t.select(F.lit("tree").alias("kind"), "oid", "body") for t in trees_by_level(tree.select(F.lit(0).alias("one"), "path", "oid"), ["one"])]
+    levels = [t.select(F.lit("tree").alias("kind"), "oid", "body") for t in trees_by_level(tree.select("commit_id", "path", "oid"), ["commit_id"])]
     body = commit_body(F.col("tree_oid"), F.col("parents"), F.col("author"), F.unix_timestamp("ts"), F.col("message"))
     commits = row.select(F.lit("commit").alias("kind"), F.col("commit_id").alias("oid"), body.alias("body"))
 

@@ -27,7 +27,7 @@ def snapshots(store: Store, folder: str, registry: Registry, checkpoint: str, *,
         if not known:
             objects = flatten(batch.select(_key(folder).alias("key"), "content"), registry)
             begun = store.exists() and store.resolve(branch)
-            store.commit(objects, message, branch=branch, init=not begun, inherit=branch if begun else None)
+            store.commit(objects, message, branch=branch, init=None, inherit=branch if begun else None)
 
     out = files.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()

@@ -47,10 +47,16 @@ def test_commits(spark, store, tmp_path, monkeypatch, sent):
     assert store.table("commits").where(F.col("commit_id") == dangling).first()["tree_oid"] == "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
     small = store.compact(str(tmp_path / "small"), 2)
     assert {(r["key"], bytes(r["content"])) for r in small.entries("main").collect()} == {("b.txt", b"v2"), ("copy", b"v1")}
+    four = store.commit(_e(spark, {"d.txt": b"v5", "copy": b"v1"}), "fourth", ts=t(4))
+    parts = {p for p in (tmp_path / "small").rglob("*.parquet")}
+    small = store.compact(str(tmp_path / "small"), 2)
+    assert parts < {p for p in (tmp_path / "small").rglob("*.parquet")} and small.resolve("main") == four
+    assert {(r["key"], bytes(r["content"])) for r in small.entries("main").collect()} == {("d.txt", b"v5"), ("copy", b"v1")}
+    assert small.listing(one).count() == 3 and small.table("blobs").count() == 6 and small.table("refs").count() == 3
     other = Store(spark, str(tmp_path / "other"))
     other.pull(store)
     other.pull(store)
-    assert other.resolve("main") == two and other.table("blobs").count() == 5 and other.listing("main").count() == 2
+    assert other.resolve("main") == four and other.table("blobs").count() == 6 and other.listing("main").count() == 2
 
 
 def test_last_write_wins(spark, store):
@@ -126,6 +132,13 @@ def test_git(spark, store, tmp_path):
     assert git_objects.git(bare, "rev-list", "main").decode().split() == [two, one]
     assert {r["key"]: bytes(r["content"]) for r in git_objects.entries(spark, bare, one).collect()} == first
     assert [r["path"] for r in git_objects.listing(spark, bare, "main").collect()] == ["b/z.md"]
+    three = store.commit(_e(spark, {"b/z.md": b"5"}), "three", ts=t)
+    again = str(tmp_path / "again.git")
+    for repository in (again, bare, bare):
+        assert git_objects.export(store, "main", repository, history=True) == three
+        git_objects.git(repository, "fsck", "--strict")
+        assert git_objects.git(repository, "rev-list", "main").decode().split() == [three, two, one]
+    assert {r["key"]: bytes(r["content"]) for r in git_objects.entries(spark, again, one).collect()} == first
     with pytest.raises(RuntimeError, match="ls-tree"):
         git_objects.listing(spark, bare, "nope")
 
@@ -141,6 +154,9 @@ def test_command_line(spark, tmp_path, capsysbinary):
     main(["checkout", at, "main", save, *reg])
     assert (tmp_path / "save.bak").is_dir() and (tmp_path / "save/w/region/r.-1.0.mca").is_file()
     main(["log", at])
+    main(["backup", save, at, "-m", "second", "--pack", str(tmp_path / "packed"), *reg])
+    main(["backup", save, str(tmp_path / "new"), "-m", "begun", *reg])
+    assert Store(spark, str(tmp_path / "packed")).listing("main").count() == Store(spark, str(tmp_path / "new")).listing("main").count() == 11
     main(["flatten", save, str(tmp_path / "flat"), *reg])
     main(["unflatten", str(tmp_path / "flat"), str(tmp_path / "again"), *reg])
     main(["repack", at, str(tmp_path / "small")])
