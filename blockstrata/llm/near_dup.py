@@ -336,12 +336,12 @@ def alike(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of alike sets among rows of root, lo, hi, node, set, sorted by these: of each pair of blocks."""
+    """Links of alike sets among rows of root, lo, hi, node, set, sorted by these: of each pair of blocks, as stars."""
 
     def done() -> Iterator[pa.RecordBatch]:
         if len(sets) > 1:
-            links = list(alike(sets))
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[x[i]] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+            links, own = np.array(list(alike(sets)), "i8").reshape(-1, 2), np.array(nodes, "i8")
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(own[links[:, 0]], own[links[:, 1]])], ["a", "b"])
 
     nodes: list[int] = []
     sets: list[np.ndarray] = []
