@@ -8,7 +8,8 @@ bit each. So every fingerprint is replicated to all anchors within 1 + 1 bits, 1
 meet at an anchor. Equal fingerprints travel once.
 
 That bound is on bits. For a bound on the similarity of the texts, similar_dups() compares the sets of shingles
-themselves: bands of least hashes bring candidates together, and exact counts of common shingles decide.
+themselves: close fingerprints, found at anchors, are candidates; bands of least hashes add those whose fingerprints
+are further apart; and exact counts of common shingles decide.
 """
 
 from __future__ import annotations
@@ -224,9 +225,13 @@ def near_dups(docs: DataFrame, *, shingle: int = 5, bits: int = 5, id_col: str =
 def near_links(docs: DataFrame, *, shingle: int = 5, bits: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
     """(rows, links a - b, the column of rows whose values are linked)."""
     rows = settle(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    spread = rows.select("_fp").distinct().select(F.explode(anchors(F.col("_fp"), bits)).alias("key"), "_fp")
-    edges = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_per_anchor(bits), "a bigint, b bigint")
-    return rows, edges, "_fp"
+    return rows, _close_links(rows.select("_fp").distinct(), bits), "_fp"
+
+
+def _close_links(fps: DataFrame, bits: int) -> DataFrame:
+    """Links a - b of close ones among distinct fingerprints."""
+    spread = fps.select(F.explode(anchors(F.col("_fp"), bits)).alias("key"), "_fp")
+    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_per_anchor(bits), "a bigint, b bigint")
 
 
 def _rooted(rows: DataFrame, edges: DataFrame, by: str, what: Column) -> DataFrame:
@@ -358,10 +363,20 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def _alike(rows: DataFrame, k: int) -> DataFrame:
+def _close_nodes(rows: DataFrame, bits: int) -> DataFrame:
+    """Candidates a - b: nodes whose fingerprints are equal or close, the least node of each standing for it."""
+    pairs = settle(rows.select("_fp", "_node").distinct(), "pairs")
+    least = settle(pairs.groupBy("_fp").agg(F.min("_node").alias("least")), "least")
+    at = lambda end: least.select(F.col("_fp").alias(end), F.col("least").alias(f"{end}_least"))
+    close = _close_links(least.select("_fp"), bits).join(at("a"), "a").join(at("b"), "b").select("a_least", "b_least")
+    return close.union(pairs.join(least, "_fp").where("_node <> least").select("_node", "least")).toDF("a", "b")
+
+
+def _alike(rows: DataFrame, k: int, bits: int) -> DataFrame:
     """Links a - b of nodes. Candidates that hang together are compared all with all."""
     spread = rows.where("_bands IS NOT NULL").select("_node", "_bands").dropDuplicates(["_node"]).select(F.explode("_bands").alias("key"), "_node")
-    roots = components(spread.repartition("key").sortWithinPartitions("key", "_node").mapInArrow(_stars, "a bigint, b bigint"))
+    banded = spread.repartition("key").sortWithinPartitions("key", "_node").mapInArrow(_stars, "a bigint, b bigint")
+    roots = components(_close_nodes(rows, bits).union(banded))
     members = settle(roots.union(roots.select("root", "root").distinct()).toDF("_node", "root"), "members")
     sizes = rows.groupBy("_node").agg(F.max("_size").alias("_size")).join(members, "_node")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("_size") / BLOCK_SHINGLES)).cast("int")
@@ -386,20 +401,20 @@ def _alike(rows: DataFrame, k: int) -> DataFrame:
     return dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "_node").mapInArrow(_confirmed, "a bigint, b bigint")
 
 
-def similar_dups(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_dups(docs: DataFrame, *, shingle: int = 5, bits: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As near_dups(), for texts whose sets of shingles are similar to 0.8 or more: common ones over all of both.
 
-    Every link is an exact count of common shingles (of their XXH64 values). Candidates are found by bands of least
-    hashes, see BANDS. Texts without words, null ones too, have equal sets and are linked. Null ids, repeated rows,
+    Every link is an exact count of common shingles (of their XXH64 values). Candidates are fingerprints that differ in
+    ``bits`` or fewer, and those that bands of least hashes add, see BANDS. Texts without words, null ones too, have equal sets and are linked. Null ids, repeated rows,
     empty tables and other columns are as in near_dups(). Sets are told apart by 64 bits of XXH64.
     """
-    return _classes(*similar_links(docs, shingle=shingle, id_col=id_col, text_col=text_col), id_col)
+    return _classes(*similar_links(docs, shingle=shingle, bits=bits, id_col=id_col, text_col=text_col), id_col)
 
 
-def similar_links(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
+def similar_links(docs: DataFrame, *, shingle: int = 5, bits: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
     """As near_links(), of similar_dups()."""
     rows = settle(_sets(docs, shingle, id_col, text_col), "shingles")
-    return rows, _alike(rows, shingle), "_node"
+    return rows, _alike(rows, shingle, bits), "_node"
 
 
 def drop_near_dups(docs: DataFrame, find=similar_links, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -162,3 +162,20 @@ def test_drop_keeps_a_row_of_each_component(spark, find):
     got = near_dup.drop_near_dups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), find).collect()
     want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[5]), (9, texts[6]), (None, None)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_close_fingerprints_are_candidates(spark, monkeypatch):
+    """Alike texts whose fingerprints are close are linked by way of anchors, also if no band brings them together."""
+    import random
+
+    monkeypatch.setattr(near_dup, "_stars", lambda batches: iter([None for _ in batches][:0]))
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, close = [], []
+    for i in range(40):
+        text = [word() for _ in range(300)]
+        copy = [*text[:150], word(), *text[151:]]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+        close.append((brute_fingerprint(rows[-1][1], 5) ^ brute_fingerprint(rows[-2][1], 5)).bit_count() <= 5)
+    got = {r[0]: r[2] for r in near_dup.similar_dups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(40)] == close and sum(close) > 20
