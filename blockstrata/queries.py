@@ -29,6 +29,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows with much work each, in tasks for all cores; a scan of a small file makes too few."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 _BLOB = "sha1(encode('blob ' || octet_length(encode(text)) || chr(0) || text))"
 
 
@@ -369,7 +374,7 @@ def section_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((key, 1 + size % 3, *[int(c @ np.arange(1, len(c) + 1)) for c in (again.block_state, again.biome)]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["p_partkey", "palette", "blocks", "biomes"])
 
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey bigint, palette int, blocks bigint, biomes bigint")
+    return _dealt(_t(spark, sf_dir, "part").select("p_partkey", "p_size")).mapInArrow(run, "p_partkey bigint, palette int, blocks bigint, biomes bigint")
 
 
 @query("SELECT save_dir, branch FROM (SELECT source AS save_dir, lang AS branch, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source <> 'src3') WHERE n = 1")

@@ -24,7 +24,7 @@ from blockstrata.operators.registry import Block, Registry
 from blockstrata.operators.sections import Section, dump_sections, load_sections, section_bytes, write_biomes, write_blocks
 from blockstrata.plans import history
 from blockstrata.plans.store import Store
-from blockstrata.queries import _BLOB, QUERIES, SQL, _t, query
+from blockstrata.queries import _BLOB, QUERIES, SQL, _dealt, _t, query
 from blockstrata.sources import files, nbt, profiles
 from blockstrata.sources.region import write_region
 
@@ -332,7 +332,7 @@ def section_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((key, *[hashlib.sha256(section_bytes(s, what)).hexdigest() for what in ("block", "biome")]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], ["p_partkey", "block", "biome"])
 
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey bigint, block string, biome string")
+    return _dealt(_t(spark, sf_dir, "part").select("p_partkey", "p_size")).mapInArrow(run, "p_partkey bigint, block string, biome string")
 
 
 @query("SELECT state_id, CASE WHEN state_id < 2 THEN 'b' || state_id ELSE 'b2' END AS name, CASE WHEN state_id < 2 THEN '' ELSE ['true', 'false'][((state_id - 2) // 3 + 1)::int] || ['0', '1', '2'][((state_id - 2) % 3 + 1)::int] END AS props, count(*)::bigint AS parts FROM (SELECT (p_size % 8)::int AS state_id FROM part) GROUP BY 1")

@@ -229,3 +229,22 @@ def test_files(spark, tmp_path):
         files.lookup(files.scan(spark, root), ["nope"]).collect()
     with pytest.raises(Exception, match="unsafe key"):
         files.put(_frame(spark, {"../x": b""}), root)
+
+
+def test_lists_of_numbers_as_arrays():
+    """Cells travel as arrays, not number by number; both forms are the same bytes."""
+    items = [(b"a", (nbt.LIST, (nbt.SHORT, [1, -2, 300]))), (b"b", (nbt.LIST, (nbt.COMPOUND, [[(b"c", (nbt.LIST, (nbt.DOUBLE, [0.5])))]])))]
+    raw = nbt.dump(b"", items)
+    read = nbt.load(raw, arrays=True)[1]
+    assert isinstance(nbt.get(read, "a", nbt.LIST)[1], np.ndarray) and nbt.get(read, "a", nbt.LIST)[1].tolist() == [1, -2, 300]
+    assert nbt.dump(b"", read) == raw and nbt.load(raw)[1] == items
+    with pytest.raises(ValueError):
+        nbt.load(raw[:13], arrays=True)
+
+
+def test_cells_in_tasks_for_all_cores(spark, sf_dir):
+    """A small file of many rows is not one task's work."""
+    from blockstrata.save_queries import QUERIES
+
+    for name in ("section_dump", "section_codec"):
+        assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
