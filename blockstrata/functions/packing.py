@@ -111,11 +111,21 @@ def pack_cells(index: np.ndarray, bits: int) -> np.ndarray:
     per = 64 // bits
     padded = np.zeros(-(-len(index) // per) * per, "u8")
     padded[: len(index)] = index
-    return np.bitwise_or.reduce(padded.reshape(-1, per) << (np.arange(per) * bits).astype("u8"), axis=1)
+    return np.bitwise_or.reduce(padded.reshape(-1, per).T << (np.arange(per) * bits).astype("u8")[:, None], axis=0)
 
 
 def first_seen(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(values in order of first appearance, index of each cell)."""
+    low, n = int(cells.min()) if len(cells) else 0, len(cells)
+    span = int(cells.max()) - low + 1 if n else 0
+    if 0 < span <= 1 << 16:  # no sort: what is written to a place last stays, so cells are gone through backwards
+        at = cells - low
+        first = np.full(span, n)
+        first[at[::-1]] = np.arange(n - 1, -1, -1)
+        met = np.flatnonzero(first < n)
+        met = met[np.argsort(first[met])]
+        first[met] = np.arange(len(met))
+        return (met + low).astype(cells.dtype), first[at]
     values, first, at = np.unique(cells, return_index=True, return_inverse=True)
     order = np.argsort(first)
     place = np.empty(len(order), "i8")
