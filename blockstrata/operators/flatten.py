@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import gzip
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from blockstrata.functions.paths import SENTINEL, route
 from blockstrata.operators.registry import Registry
 from blockstrata.operators.sections import dump_sections, load_sections, restore_chunk, split_chunk
 from blockstrata.sources import nbt
+from blockstrata.sources.batches import PART, parts
 from blockstrata.sources.region import read_region, write_region
 
 OBJECT = "key string, content binary"
@@ -73,20 +75,31 @@ def flatten(files: DataFrame, registry: Registry, *, keep_partial: bool = False)
     """A scan, a filter on the name and one pass over the content; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
+            small = []
             for key, content, codec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if codec == "raw":
-                    out = [(key, content)]
-                elif codec == "gzip":
-                    out = [(key, _canonical(gunzip(content)))]
+                if codec in ("raw", "gzip"):
+                    small.append((key, content if codec == "raw" else _canonical(gunzip(content))))
                 else:
-                    out = list(_flat_region(key, content, registry if codec == "region" else None, keep_partial))
-                if out:
-                    yield _objects(out)
+                    yield from _in_parts(_flat_region(key, content, registry if codec == "region" else None, keep_partial))
+            yield from _in_parts(small)
 
     return files.select("key", "content", route(F.col("key")).alias("codec")).where("codec is not null").mapInArrow(run, OBJECT)
 
 
+def _in_parts(rows: Iterable[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Objects in batches of some PART bytes, as they are made."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size >= PART:
+            yield _objects(held)
+            held, size = [], 0
+    if held:
+        yield _objects(held)
+
+
 def _objects(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], ["key", "content"])
 
@@ -100,7 +113,7 @@ def damaged_chunks(files: DataFrame) -> DataFrame:
     """key, chunk_x, chunk_z, error of chunks that can't be decompressed and so are missing from flatten()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for key, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 region = read_region(content, *_coordinates(key))
@@ -116,7 +129,7 @@ def chunks(files: DataFrame) -> DataFrame:
     """region_key, chunk_x, chunk_z, nbt of every readable chunk. A filter on the region's name prunes files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for key, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 region = read_region(content, *_coordinates(key))
                 if region:
@@ -131,20 +144,24 @@ def sections(chunk_rows: DataFrame, registry: Registry) -> DataFrame:
     """region_key, chunk_x, chunk_z, ord, y, biome, block_state of chunks()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for key, x, z, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, found = split_chunk(nbt.load(raw)[1], registry)
                 n = len(found)
                 if n:
                     yield pa.RecordBatch.from_arrays([
                         pa.array([key] * n), pa.array([x] * n, pa.int32()), pa.array([z] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([s.y for s in found], pa.int8()),
-                        pa.array([s.biome.tolist() for s in found], pa.list_(pa.int16())), pa.array([s.block_state.tolist() for s in found], pa.list_(pa.int32())),
+                        _lists([s.biome for s in found], "i2"), _lists([s.block_state for s in found], "i4"),
                     ], ["region_key", "chunk_x", "chunk_z", "ord", "y", "biome", "block_state"])
 
     kind = "region_key string, chunk_x int, chunk_z int, ord int, y tinyint, biome array<smallint>, block_state array<int>"
     return chunk_rows.select("region_key", "chunk_x", "chunk_z", "nbt").mapInArrow(run, kind)
 
 
+def _lists(cells: list[np.ndarray], kind: str) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, cells)]).astype("i4"), np.concatenate(cells).astype(kind))
+
+
 _PART = r"^(.*/(region|entities|poi)/r\.[^/]*\.mca)/(timestamp-header|(?:(other|sections)/)?c\.(-?\d+)\.(-?\d+)\.(?:nbt|dump))$"
 
 
@@ -156,9 +173,9 @@ def unflatten(objects: DataFrame, registry: Registry) -> DataFrame:
     plain = objects.where(route(key).isin("raw", "gzip")).select("key", "content", route(key).alias("codec"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, content, codec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield _objects([(k, content if codec == "raw" else gzip.compress(content, mtime=0))])
+        for batch in parts(batches):
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield _objects([(k, content if codec == "raw" else gzip.compress(content, mtime=0)) for k, content, codec in rows])
 
     def build(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -180,10 +197,10 @@ def unflatten(objects: DataFrame, registry: Registry) -> DataFrame:
             made.append((x, z, raw))
         return pa.Table.from_batches([_objects([(region, write_region(*_coordinates(region), stamps[0], made))])], schema=_SCHEMA)
 
-    parts = objects.where(key.rlike(_PART)).select(
+    pieces = objects.where(key.rlike(_PART)).select(
         part(1).alias("region"), part(2).alias("kind"), part(3).alias("part"), part(4).alias("folder"), part(5).alias("x"), part(6).alias("z"), "content"
     )
-    regions = parts.groupBy("region").applyInArrow(build, OBJECT)
+    regions = pieces.groupBy("region").applyInArrow(build, OBJECT)
     return plain.mapInArrow(encode, OBJECT).unionByName(regions)
 
 

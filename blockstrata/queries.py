@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from blockstrata.functions import hashing, packing, paths
 from blockstrata.plans import history
 from blockstrata.plans.store import last_write
+from blockstrata.sources.batches import parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -312,12 +313,12 @@ def gzip_tag_tree_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
 
-        for b in batches:
+        for b in parts(batches):
             made = [gzip.compress(nbt.dump(b"", [(b"z", (nbt.BYTES, t.encode())), (b"a", (nbt.LONG, i))]), 1) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f"d/{i}.dat" for i in b.column(0).to_pylist()]), pa.array(made, pa.binary())], ["key", "content"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             items = [nbt.load(gunzip(c.as_py()))[1] for c in b.column(1)]
             assert all([k for k, _ in x] == [b"a", b"z"] for x in items)
             yield pa.RecordBatch.from_arrays([pa.array([nbt.get(x, "a", nbt.LONG) for x in items]), pa.array([nbt.get(x, "z", nbt.BYTES) for x in items], pa.binary())], ["doc_id", "t"])
@@ -344,7 +345,7 @@ def region_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.table({"key": [f"w/poi/r.{rx}.{rz}.mca"], "content": pa.array([write_region(rx, rz, bytes(4096), made)], pa.binary())})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             items = [nbt.load(c.as_py())[1] for c in b.column(2)]
             yield pa.RecordBatch.from_arrays([pa.array([nbt.get(x, "id", nbt.LONG) for x in items]), b.column(0), b.column(1), pa.array([nbt.get(x, "t", nbt.BYTES) for x in items], pa.binary())], ["doc_id", "chunk_x", "chunk_z", "t"])
 

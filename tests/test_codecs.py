@@ -4,6 +4,7 @@ import gzip
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -248,3 +249,24 @@ def test_cells_in_tasks_for_all_cores(spark, sf_dir):
 
     for name in ("section_dump", "section_codec"):
         assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_batches_in_parts(monkeypatch):
+    """A batch of large rows is never taken at once, and no row is lost."""
+    from blockstrata.sources import batches
+
+    monkeypatch.setattr(batches, "PART", 1000)
+    rows = [bytes([i]) * n for i, n in enumerate([10] * 50 + [400] * 20 + [5000, 0, 0])]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["content"])
+    got = list(batches.parts(iter([batch, batch.slice(0, 0)])))
+    assert [c for b in got for c in b.column(0).to_pylist()] == rows
+    assert max(b.num_rows for b in got) <= 10 and list(batches.parts(iter([]))) == []
+
+
+def test_flatten_yields_parts(spark, registry, monkeypatch):
+    """A region's objects, and many small files, leave in batches of bounded size."""
+    from blockstrata.operators import flatten as fl
+
+    monkeypatch.setattr(fl, "PART", 1000)
+    got = list(fl._in_parts((str(i), bytes(300)) for i in range(10)))
+    assert [b.num_rows for b in got] == [4, 4, 2] and [k for b in got for k in b.column(0).to_pylist()] == list(map(str, range(10)))
