@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from blockstrata.functions.hashing import EMPTY_TREE, blob_oid, commit_oid, root_trees
 from blockstrata.functions.paths import layout, matches, safe_key
 
-#: New contents whose ids are broadcast at most.
-SENT = 200_000
+#: Pieces of 4 KB, for 32,768 rows each, that are broadcast at most to tell which contents are new.
+SENT = 16_384
 TABLES = {
     "blobs": "oid string, size bigint, content binary",
     "tree_entries": "commit_id string, path string, oid string",
@@ -98,7 +98,7 @@ class Store:
         staged = last_write(staged, "path", F.col("_seq")) if seq else staged
         # Contents may come from decoding whole saves: they are made once, and what follows reads them from here.
         stage = self._path(f"_staged-{uuid.uuid4().hex}")
-        staged.select("path", blob_oid(F.col("content")).alias("oid"), "content", F.monotonically_increasing_id().alias("row")).write.parquet(stage)
+        staged.select("path", blob_oid(F.col("content")).alias("oid"), "content", F.monotonically_increasing_id().alias("row")).write.option("compression", "zstd").parquet(stage)
         try:
             hashed = self.spark.read.schema("path string, oid string, content binary, row bigint").parquet(stage)
             tree = hashed.select("path", "oid").distinct()
@@ -110,13 +110,17 @@ class Store:
             at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
     def _commit(self, hashed: DataFrame, listed: DataFrame, message: str, branch: str | None, author: str, ts: datetime, parents: list[str]) -> str:
-        # Which contents are new is told by ids alone. While these are few they are sent to the contents, which stay
-        # where they are; beyond that both are shuffled.
+        # Which contents are new is told by ids alone, and sent to the contents, which stay where they are, as one bit a
+        # row. Beyond some 500 million rows both are shuffled.
         new = hashed.groupBy("oid").agg(F.min("row").alias("row")).join(self.table("blobs").select("oid"), "oid", "left_anti")
-        if new.limit(SENT + 1).count() <= SENT:
-            new = F.broadcast(new)
-        fresh = hashed.join(new, ["oid", "row"], "left_semi")
-        fresh.select("oid", F.octet_length("content").cast("long").alias("size"), "content").write.mode("append").parquet(self._path("blobs"))
+        piece, place = F.bitmap_bucket_number("row").alias("piece"), F.bitmap_bit_position("row").alias("place")
+        if hashed.select(piece).distinct().count() <= SENT:
+            bits = new.select(piece, place).groupBy("piece").agg(F.bitmap_construct_agg("place").alias("bits"))
+            octet = F.conv(F.hex(F.substring("bits", (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            fresh = hashed.select("*", piece, place).join(F.broadcast(bits), "piece").where(F.call_function("getbit", octet, (F.col("place") % 8).cast("int")) == 1)
+        else:
+            fresh = hashed.join(new, ["oid", "row"], "left_semi")
+        fresh.select("oid", F.octet_length("content").cast("long").alias("size"), "content").write.mode("append").option("compression", "zstd").parquet(self._path("blobs"))
         tree = root_trees(listed.select(F.lit(0).alias("one"), "path", "oid"), ["one"]).first()
         tree_oid = tree["tree_oid"] if tree else EMPTY_TREE
         row = self.spark.createDataFrame([(tree_oid, parents, message, author, ts)], "tree_oid string, parents array<string>, message string, author string, ts timestamp")
