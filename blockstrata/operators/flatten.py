@@ -25,6 +25,8 @@ from blockstrata.sources.region import read_region, write_region
 
 OBJECT = "key string, content binary"
 FULL = "minecraft:full"
+#: Sections in a batch of cells, of some 16 KB each.
+SECTIONS = 128
 
 
 def gunzip(data: bytes) -> bytes:
@@ -143,16 +145,23 @@ def chunks(files: DataFrame) -> DataFrame:
 def sections(chunk_rows: DataFrame, registry: Registry) -> DataFrame:
     """region_key, chunk_x, chunk_z, ord, y, biome, block_state of chunks()."""
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        keys, xs, zs, ords, found = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([
+            pa.array(keys), pa.array(xs, pa.int32()), pa.array(zs, pa.int32()), pa.array(ords, pa.int32()), pa.array([s.y for s in found], pa.int8()),
+            _lists([s.biome for s in found], "i2"), _lists([s.block_state for s in found], "i4"),
+        ], ["region_key", "chunk_x", "chunk_z", "ord", "y", "biome", "block_state"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in parts(batches):
             for key, x, z, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, found = split_chunk(nbt.load(raw)[1], registry)
-                n = len(found)
-                if n:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([key] * n), pa.array([x] * n, pa.int32()), pa.array([z] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([s.y for s in found], pa.int8()),
-                        _lists([s.biome for s in found], "i2"), _lists([s.block_state for s in found], "i4"),
-                    ], ["region_key", "chunk_x", "chunk_z", "ord", "y", "biome", "block_state"])
+                rows += [(key, x, z, i, s) for i, s in enumerate(split_chunk(nbt.load(raw)[1], registry)[1])]
+                if len(rows) >= SECTIONS:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
 
     kind = "region_key string, chunk_x int, chunk_z int, ord int, y tinyint, biome array<smallint>, block_state array<int>"
     return chunk_rows.select("region_key", "chunk_x", "chunk_z", "nbt").mapInArrow(run, kind)
