@@ -9,12 +9,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from blockstrata.sources.files import open_store
 from blockstrata.sources.region import SIDE, read_region
 
+#: Chunks that leave at once, as Arrow batches: rows of Python values would be gathered by thousands.
+CHUNKS = 64
 _NAME = re.compile(r"(?:^|/)r\.(-?\d+)\.(-?\d+)\.mca$")
 
 
@@ -45,12 +48,15 @@ class RegionReader(DataSourceReader):
                 out.append(RegionFile(info.path, int(m[1]), int(m[2])))
         return out
 
-    def read(self, partition: RegionFile) -> Iterator[tuple]:
+    def read(self, partition: RegionFile) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(self.root)
         with store.open_input_file(partition.path) as f:
             region = read_region(f.read(), partition.x, partition.z)
-        for x, z, raw in region.chunks if region else []:
-            yield partition.path, x, z, raw
+        found = region.chunks if region else []
+        for at in range(0, len(found), CHUNKS):
+            xs, zs, raw = zip(*found[at : at + CHUNKS], strict=True)
+            columns = [pa.array([partition.path] * len(raw)), pa.array(xs, pa.int32()), pa.array(zs, pa.int32()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "chunk_x", "chunk_z", "nbt"])
 
 
 class RegionSource(DataSource):
