@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from blockstrata.functions.hashing import commit_body, trees_by_level
 from blockstrata.plans.store import Store
+from blockstrata.sources.batches import parts
 from blockstrata.sources.files import SCHEMA, put
 
 
@@ -42,14 +43,36 @@ def init(git_dir: str) -> None:
     git(git_dir, "config", "gc.auto", "0")
 
 
-def listing(spark: SparkSession, git_dir: str, commit: str) -> DataFrame:
-    """path and oid; names are taken as they are, unquoted."""
-    rows = []
-    for line in git(git_dir, "ls-tree", "-r", "-z", commit).split(b"\0"):
+def listing(spark: SparkSession, git_dir: str, commit: str, tasks: int = 8) -> DataFrame:
+    """path and oid; names are taken as they are, unquoted. Directories alone come to the driver; tasks list the files
+    of each. ``git_dir`` is a folder that all executors see."""
+    dirs = []
+    for line in git(git_dir, "ls-tree", "-r", "-d", "-z", commit).split(b"\0"):
         head, _, path = line.partition(b"\t")
-        if path and head.split()[1] == b"blob":
-            rows.append((path.decode(), head.split()[2].decode()))
-    return spark.createDataFrame(rows, "path string, oid string")
+        if path and head.split()[1] == b"tree":
+            dirs.append((f"{path.decode()}/", head.split()[2].decode()))
+    dirs.append(("", git(git_dir, "rev-parse", "--verify", f"{commit}^{{tree}}").decode().strip()))
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, oid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from _files(git_dir, folder, oid)
+
+    return spark.createDataFrame(dirs, "path string, oid string").repartition(tasks).mapInArrow(files, "path string, oid string")
+
+
+def _files(git_dir: str, folder: str, oid: str) -> Iterator[pa.RecordBatch]:
+    """Files of one tree, without those of its subtrees; git's output is read as it comes."""
+    with subprocess.Popen(["git", f"--git-dir={git_dir}", "ls-tree", "-z", oid], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as p:
+        left = b""
+        while chunk := p.stdout.read(1 << 20):
+            *lines, left = (left + chunk).split(b"\0")
+            found = [(head.split(), name) for head, _, name in (line.partition(b"\t") for line in lines)]
+            found = [(folder + name.decode(), head[2].decode()) for head, name in found if head[1] == b"blob"]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], ["path", "oid"])
+        said = p.stderr.read()
+    if p.returncode:
+        raise RuntimeError(f"git ls-tree: {said.decode(errors='replace').strip()}")
 
 
 def entries(spark: SparkSession, git_dir: str, commit: str, tasks: int = 8) -> DataFrame:
@@ -110,7 +133,7 @@ def export(store: Store, branch: str, git_dir: str, *, history: bool = False) ->
     commits = row.select(F.lit("commit").alias("kind"), F.col("commit_id").alias("oid"), body.alias("body"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             keys = [f"objects/{o[:2]}/{o[2:]}" for o in b.column(1).to_pylist()]
             made = [zlib.compress(f"{k} {len(c)}\0".encode() + c) for k, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(made, pa.binary())], ["key", "content"])
