@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gzip
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,13 @@ from blockstrata.functions.paths import SENTINEL, route
 from blockstrata.operators.registry import Registry
 from blockstrata.operators.sections import dump_sections, load_sections, restore_chunk, split_chunk
 from blockstrata.sources import nbt
-from blockstrata.sources.batches import PART, parts
-from blockstrata.sources.region import read_region, write_region
+from blockstrata.sources.batches import PART, in_parts, parts
+from blockstrata.sources.region import read_region, region_chunks, timestamps_of, write_region
 
 OBJECT = "key string, content binary"
+CHUNK = "region_key string, chunk_x int, chunk_z int, nbt binary"
+SECTION = "region_key string, chunk_x int, chunk_z int, ord int, y tinyint, biome array<smallint>, block_state array<int>"
+Then = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 FULL = "minecraft:full"
 #: Sections in a batch of cells, of some 16 KB each.
 SECTIONS = 128
@@ -54,11 +57,9 @@ def _coordinates(key: str) -> tuple[int, int]:
 
 
 def _flat_region(key: str, content: bytes, registry: Registry | None, keep_partial: bool) -> Iterator[tuple[str, bytes]]:
-    region = read_region(content, *_coordinates(key))
-    if region is None:
-        return
-    yield f"{key}{SENTINEL}", region.timestamps
-    for x, z, raw in region.chunks:
+    for i, (x, z, raw) in enumerate(region_chunks(content, *_coordinates(key))):
+        if i == 0:
+            yield f"{key}{SENTINEL}", timestamps_of(content)
         name, items = nbt.load(raw)
         if registry is None:
             yield f"{key}/c.{x}.{z}.nbt", nbt.dump(name, nbt.canonical(items))
@@ -91,15 +92,7 @@ def flatten(files: DataFrame, registry: Registry, *, keep_partial: bool = False)
 
 def _in_parts(rows: Iterable[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
     """Objects in batches of some PART bytes, as they are made."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[1])
-        if size >= PART:
-            yield _objects(held)
-            held, size = [], 0
-    if held:
-        yield _objects(held)
+    return map(_objects, in_parts(rows, PART))
 
 
 def _objects(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
@@ -127,24 +120,36 @@ def damaged_chunks(files: DataFrame) -> DataFrame:
     return routed.select("key", "content").mapInArrow(run, "key string, chunk_x int, chunk_z int, error string")
 
 
-def chunks(files: DataFrame) -> DataFrame:
-    """region_key, chunk_x, chunk_z, nbt of every readable chunk. A filter on the region's name prunes files."""
+def chunks(files: DataFrame, then: Then | None = None, schema: str = CHUNK) -> DataFrame:
+    """region_key, chunk_x, chunk_z, nbt of every readable chunk. A filter on the region's name prunes files.
+
+    ``then`` makes rows of ``schema`` from these in the same worker, so chunks neither go back to Spark, where they
+    are gathered by thousands, nor need another worker a core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            for key, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                region = read_region(content, *_coordinates(key))
-                if region:
-                    xs, zs, raw = zip(*region.chunks, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(xs)), pa.array(xs, pa.int32()), pa.array(zs, pa.int32()), pa.array(raw, pa.binary())], ["region_key", "chunk_x", "chunk_z", "nbt"])
+            for key, content in zip(*batch.columns, strict=True):
+                key, content = key.as_py(), content.as_buffer()
+                found = ((key, x, z, raw) for x, z, raw in region_chunks(content, *_coordinates(key)))
+                for rows in in_parts(found, PART):
+                    keys, xs, zs, raw = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(xs, pa.int32()), pa.array(zs, pa.int32()), pa.array(raw, pa.binary())], ["region_key", "chunk_x", "chunk_z", "nbt"])
 
     routed = files.where(route(F.col("key")).isin("region", "other_region"))
-    return routed.select("key", "content").mapInArrow(run, "region_key string, chunk_x int, chunk_z int, nbt binary")
+    return routed.select("key", "content").mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
 
 
 def sections(chunk_rows: DataFrame, registry: Registry) -> DataFrame:
     """region_key, chunk_x, chunk_z, ord, y, biome, block_state of chunks()."""
+    return chunk_rows.select("region_key", "chunk_x", "chunk_z", "nbt").mapInArrow(_sections_of(registry), SECTION)
+
+
+def region_sections(files: DataFrame, registry: Registry) -> DataFrame:
+    """sections() of the chunks() of files, by one worker."""
+    return chunks(files, _sections_of(registry), SECTION)
+
 
+def _sections_of(registry: Registry) -> Then:
     def made(rows: list[tuple]) -> pa.RecordBatch:
         keys, xs, zs, ords, found = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([
@@ -155,16 +160,16 @@ def sections(chunk_rows: DataFrame, registry: Registry) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in parts(batches):
-            for key, x, z, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(key, x, z, i, s) for i, s in enumerate(split_chunk(nbt.load(raw)[1], registry)[1])]
+            for key, x, z, raw in zip(*batch.columns, strict=True):
+                key, x, z = key.as_py(), x.as_py(), z.as_py()
+                rows += [(key, x, z, i, s) for i, s in enumerate(split_chunk(nbt.load(raw.as_py())[1], registry)[1])]
                 if len(rows) >= SECTIONS:
                     yield made(rows)
                     rows = []
         if rows:
             yield made(rows)
 
-    kind = "region_key string, chunk_x int, chunk_z int, ord int, y tinyint, biome array<smallint>, block_state array<int>"
-    return chunk_rows.select("region_key", "chunk_x", "chunk_z", "nbt").mapInArrow(run, kind)
+    return run
 
 
 def _lists(cells: list[np.ndarray], kind: str) -> pa.ListArray:

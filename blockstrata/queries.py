@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from blockstrata.functions import hashing, packing, paths
@@ -35,6 +35,12 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
+def _by_region(rows: DataFrame) -> GroupedData:
+    """Documents by region, some 1,024 a task, so batches between workers are as large at any size of the table."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // 1024))
+    return rows.repartition(tasks, "rx", "rz").groupBy("rx", "rz")
+
+
 _BLOB = "sha1(encode('blob ' || octet_length(encode(text)) || chr(0) || text))"
 
 
@@ -341,16 +347,16 @@ def region_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         rx, rz = rows[0]["rx"], rows[0]["rz"]
-        made = [(r["x"], r["z"], nbt.dump(b"", [(b"id", (nbt.LONG, r["doc_id"])), (b"t", (nbt.BYTES, r["text"].encode()))])) for r in rows]
+        made = ((r["x"], r["z"], nbt.dump(b"", [(b"id", (nbt.LONG, r["doc_id"])), (b"t", (nbt.BYTES, r["text"].encode()))])) for r in rows)
         return pa.table({"key": [f"w/poi/r.{rx}.{rz}.mca"], "content": pa.array([write_region(rx, rz, bytes(4096), made)], pa.binary())})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            items = [nbt.load(c.as_py())[1] for c in b.column(2)]
-            yield pa.RecordBatch.from_arrays([pa.array([nbt.get(x, "id", nbt.LONG) for x in items]), b.column(0), b.column(1), pa.array([nbt.get(x, "t", nbt.BYTES) for x in items], pa.binary())], ["doc_id", "chunk_x", "chunk_z", "t"])
+            items = [nbt.load(c.as_py())[1] for c in b["nbt"]]
+            yield pa.RecordBatch.from_arrays([pa.array([nbt.get(x, "id", nbt.LONG) for x in items]), b["chunk_x"], b["chunk_z"], pa.array([nbt.get(x, "t", nbt.BYTES) for x in items], pa.binary())], ["doc_id", "chunk_x", "chunk_z", "t"])
 
-    files = docs.groupBy("rx", "rz").applyInArrow(write, "key string, content binary")
-    out = chunks(files).select("chunk_x", "chunk_z", "nbt").mapInArrow(read, "doc_id bigint, chunk_x int, chunk_z int, t binary")
+    files = _by_region(docs).applyInArrow(write, "key string, content binary")
+    out = chunks(files, read, "doc_id bigint, chunk_x int, chunk_z int, t binary")
     return out.select("doc_id", "chunk_x", "chunk_z", F.sha2("t", 256).alias("digest"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 
@@ -19,3 +19,16 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, n, step):
             yield batch.slice(at, step)
         pa.default_memory_pool().release_unused()
+
+
+def in_parts(rows: Iterable[tuple], part: int = PART) -> Iterator[list[tuple]]:
+    """Rows, whose last value is their content, some ``part`` bytes at a time, as they are made."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= part:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

@@ -5,6 +5,7 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from blockstrata.plans import store as stores
 from blockstrata.plans.store import Store
@@ -69,3 +70,44 @@ def test_chunks_leave_in_batches(tmp_path):
     got = list(RegionReader({"path": str(tmp_path)}).read(RegionFile(str(tmp_path / "r.0.0.mca"), 0, 0)))
     assert all(isinstance(b, pa.RecordBatch) and b.num_rows <= CHUNKS for b in got)
     assert [(r["chunk_x"], r["chunk_z"], r["nbt"]) for b in got for r in b.to_pylist()] == [(i % 32, i // 32, b"%d" % i) for i in range(150)]
+
+
+def planned(frame, what):
+    return sum(f"{what} " in line.split("#")[0] + " " for line in frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines())
+
+
+def test_chunks_are_decompressed_one_by_one(monkeypatch):
+    made = region.write_region(0, 0, bytes(4096), [(i, 0, bytes([i]) * 3000) for i in range(20)])
+    done, real = [], region.zlib.decompress
+    monkeypatch.setattr(region.zlib, "decompress", lambda data: done.append(1) or real(data))
+    got = region.region_chunks(made, 0, 0)
+    assert next(got) == (0, 0, bytes(3000)) and len(done) == 1
+    assert [x for x, _, _ in got] == list(range(1, 20))
+
+
+def test_chunks_leave_their_worker_in_parts_once(spark, sf_dir, monkeypatch):
+    """Batches have a bound in bytes, whatever a region has, and what reads chunks gets them in the same worker."""
+    from blockstrata.operators import flatten as fl
+
+    monkeypatch.setattr(fl, "PART", 10_000)
+    made = region.write_region(0, 0, bytes(4096), [(i, 0, bytes([i]) * 3000) for i in range(20)])
+    frame = spark.createDataFrame([("w/poi/r.0.0.mca", made)], files.SCHEMA)
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    out = fl.chunks(frame, count, "n bigint")
+    assert [r["n"] for r in out.collect()] == [4] * 5 and planned(out, "MapInArrow") == 1
+
+
+def test_regions_are_dealt_by_their_number(spark, tmp_path, sf_dir):
+    """A task has about a region, so tasks are as large at any size of the table."""
+    from blockstrata.save_queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = docs.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("doc_id", F.col("doc_id") + F.col("n") * 256).drop("n")
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["region_round_trip"](spark, str(tmp_path))
+    assert planned(out, "MapInArrow") == 1 and out.rdd.getNumPartitions() == -(-more.count() // 1024) > 4
+    assert out.select("chunk_x", "chunk_z").distinct().count() == more.count()
