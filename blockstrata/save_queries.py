@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from blockstrata.functions import packing
 from blockstrata.functions.paths import layout
-from blockstrata.operators.flatten import chunks, flatten, sections, unflatten
+from blockstrata.operators.flatten import flatten, region_sections, unflatten
 from blockstrata.operators.registry import Block, Registry
 from blockstrata.operators.sections import Section, dump_sections, load_sections, section_bytes, write_biomes, write_blocks
 from blockstrata.plans import history
 from blockstrata.plans.store import Store
-from blockstrata.queries import _BLOB, QUERIES, SQL, _dealt, _t, query
+from blockstrata.queries import _BLOB, QUERIES, SQL, _by_region, _dealt, _t, query
 from blockstrata.sources import files, nbt, profiles
 from blockstrata.sources.region import write_region
 
@@ -238,10 +238,10 @@ def _world(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: (r["z"], r["x"]))
         rx, rz = rows[0]["rx"], rows[0]["rz"]
-        made = write_region(rx, rz, bytes(range(256)) * 16, [(r["x"], r["z"], chunk(r["doc_id"], r["text"])) for r in rows])
+        made = write_region(rx, rz, bytes(range(256)) * 16, ((r["x"], r["z"], chunk(r["doc_id"], r["text"])) for r in rows))
         return pa.table({"key": [f"w/region/r.{rx}.{rz}.mca"], "content": pa.array([made], pa.binary())})
 
-    return docs.groupBy("rx", "rz").applyInArrow(write, "key string, content binary")
+    return _by_region(docs).applyInArrow(write, "key string, content binary")
 
 
 _PLACE = "(doc_id % 64 - 32)::int AS chunk_x, (doc_id // 64)::int AS chunk_z"
@@ -281,13 +281,13 @@ def _weighed(rows: DataFrame) -> DataFrame:
 @query(_cells(1, *_SECTIONS).replace("WHERE doc_id % 1 <> 0", ""))
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of all chunks, decoded through palettes and registry."""
-    return _weighed(sections(chunks(_world(spark, sf_dir)), WORLD))
+    return _weighed(region_sections(_world(spark, sf_dir), WORLD))
 
 
 @query(_cells(3, *_SECTIONS))
 def section_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of regions that were flattened and restored, so encoded anew."""
-    return _weighed(sections(chunks(unflatten(flatten(_world(spark, sf_dir), WORLD), WORLD)), WORLD))
+    return _weighed(region_sections(unflatten(flatten(_world(spark, sf_dir), WORLD), WORLD), WORLD))
 
 
 @query("SELECT 'w/region/r.' || rx || '.' || rz || '.mca' AS region, sha256(from_hex(repeat(h, 16))) AS digest FROM (SELECT DISTINCT (doc_id % 64 - 32) >> 5 AS rx, doc_id // 2048 AS rz FROM documents), (SELECT string_agg(lpad(hex(b), 2, '0'), '' ORDER BY b) AS h FROM range(256) r(b))")

@@ -111,3 +111,10 @@ def test_regions_are_dealt_by_their_number(spark, tmp_path, sf_dir):
     out = QUERIES["region_round_trip"](spark, str(tmp_path))
     assert planned(out, "MapInArrow") == 1 and out.rdd.getNumPartitions() == -(-more.count() // 1024) > 4
     assert out.select("chunk_x", "chunk_z").distinct().count() == more.count()
+
+
+def test_cells_are_read_where_chunks_are(spark, sf_dir):
+    from blockstrata.save_queries import QUERIES
+
+    assert planned(QUERIES["chunk_sections"](spark, sf_dir), "MapInArrow") == 1
+    assert planned(QUERIES["section_rebuild"](spark, sf_dir), "MapInArrow") == 4  # flattened for either kind of files, others restored, cells
