@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,10 +80,13 @@ def flatten(files: DataFrame, registry: Registry, *, keep_partial: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
+            as_is = pc.equal(batch["codec"], "raw")
+            if (raw := batch.filter(as_is)).num_rows:  # these stay as they came
+                yield raw.select(["key", "content"])
             small = []
-            for key, content, codec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if codec in ("raw", "gzip"):
-                    small.append((key, content if codec == "raw" else _canonical(gunzip(content))))
+            for key, content, codec in zip(*(c.to_pylist() for c in batch.filter(pc.invert(as_is)).columns), strict=True):
+                if codec == "gzip":
+                    small.append((key, _canonical(gunzip(content))))
                 else:
                     yield from _in_parts(_flat_region(key, content, registry if codec == "region" else None, keep_partial))
             yield from _in_parts(small)

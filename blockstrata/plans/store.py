@@ -12,6 +12,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from blockstrata.functions.hashing import EMPTY_TREE, blob_oid, commit_oid, root_trees
 from blockstrata.functions.paths import layout, matches, safe_key
@@ -46,9 +47,16 @@ class Store:
 
     def init(self) -> Store:
         for table, schema in TABLES.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self._path(table))
+            self._row(schema).limit(0).write.mode("ignore").parquet(self._path(table))
         return self
 
+    def _row(self, schema: str, *values) -> DataFrame:
+        """One row of literals, or of nulls. A frame made of Python's rows would start a worker a core of a kind that nothing
+        else here uses, and these would stay beside those of the codecs."""
+        fields = StructType.fromDDL(schema).fields
+        lit = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+        return self.spark.range(0, 1, 1, 1).select(*[lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, values or [None] * len(fields), strict=True)])
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(self._path(name))
 
@@ -123,7 +131,7 @@ class Store:
         fresh.select("oid", F.octet_length("content").cast("long").alias("size"), "content").write.mode("append").option("compression", "zstd").parquet(self._path("blobs"))
         tree = root_trees(listed.select(F.lit(0).alias("one"), "path", "oid"), ["one"]).first()
         tree_oid = tree["tree_oid"] if tree else EMPTY_TREE
-        row = self.spark.createDataFrame([(tree_oid, parents, message, author, ts)], "tree_oid string, parents array<string>, message string, author string, ts timestamp")
+        row = self._row("tree_oid string, parents array<string>, message string, author string, ts timestamp", tree_oid, parents, message, author, ts)
         row = row.withColumn("commit_id", commit_oid(F.col("tree_oid"), F.col("parents"), F.col("author"), F.unix_timestamp("ts"), F.col("message")))
         commit_id = row.first()["commit_id"]
         listed.select(F.lit(commit_id).alias("commit_id"), "path", "oid").sortWithinPartitions("path").write.mode("append").parquet(self._path("tree_entries"))
@@ -136,7 +144,7 @@ class Store:
 
     def _set_ref(self, branch: str, commit_id: str, ts: datetime) -> None:
         seq = (self.table("refs").agg(F.max("seq")).first()[0] or 0) + 1
-        self.spark.createDataFrame([(branch, commit_id, ts, seq)], TABLES["refs"]).write.mode("append").parquet(self._path("refs"))
+        self._row(TABLES["refs"], branch, commit_id, ts, seq).write.mode("append").parquet(self._path("refs"))
 
     # -- reading -------------------------------------------------------------------------------------------------
 

@@ -118,3 +118,44 @@ def test_cells_are_read_where_chunks_are(spark, sf_dir):
 
     assert planned(QUERIES["chunk_sections"](spark, sf_dir), "MapInArrow") == 1
     assert planned(QUERIES["section_rebuild"](spark, sf_dir), "MapInArrow") == 4  # flattened for either kind of files, others restored, cells
+
+
+def test_a_commit_starts_no_workers_of_its_own(spark, tmp_path, monkeypatch):
+    """Rows of commits and refs are literals: frames of Python's rows would start workers beside those of the codecs."""
+    frame = spark.createDataFrame([("a/b.json", b"{}"), ("c.json", b"[]")], files.SCHEMA)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *_, **__: pytest.fail("rows made by Python"))
+    store = Store(spark, str(tmp_path / "store"))
+    first = store.commit(frame, "first", init=True, ts=WHEN)
+    second = store.commit(frame.where("key = 'c.json'"), "it's \"2\" \\n", ts=WHEN)
+    rows = {r["commit_id"]: r for r in store.table("commits").collect()}
+    assert rows[first]["parents"] == [] and rows[second]["parents"] == [first] and rows[second]["message"] == "it's \"2\" \\n"
+    assert [r["seq"] for r in store.table("refs").orderBy("seq").collect()] == [1, 2] and store.resolve("main") == second
+    assert store.table("commits").where(F.col("ts") == F.lit(WHEN)).count() == 2
+
+
+def test_raw_files_pass_as_they_come(spark, monkeypatch):
+    """Beside files that are read, also in one batch; others are dropped."""
+    from blockstrata.operators import flatten as fl
+    from blockstrata.operators.registry import Registry
+    from blockstrata.sources import nbt
+
+    made = []
+    real = fl._objects
+    monkeypatch.setattr(fl, "_objects", lambda rows: made.extend(k for k, _ in rows) or real(rows))
+    monkeypatch.setattr(fl, "route", lambda key: key)
+    tree = nbt.dump(b"", [(b"b", (nbt.BYTE, 1)), (b"a", (nbt.BYTE, 2))])
+    batch = pa.RecordBatch.from_arrays([pa.array(["x.json", "y.dat", "z.json"]), pa.array([b"{}", tree, b""], pa.binary()), pa.array(["raw", "gzip", "raw"])], ["key", "content", "codec"])
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        where = select
+
+        def mapInArrow(self, run, _):
+            return [(r["key"], r["content"]) for b in run(iter([batch])) for r in b.to_pylist()]
+
+    monkeypatch.setattr(fl.F, "col", lambda _: type("C", (), {"alias": lambda s, _: s})())
+    got = fl.flatten(Files(), Registry("none", [], {}))
+    canon = nbt.dump(b"", [(b"a", (nbt.BYTE, 2)), (b"b", (nbt.BYTE, 1))])
+    assert sorted(got) == [("x.json", b"{}"), ("y.dat", canon), ("z.json", b"")] and made == ["y.dat"]
