@@ -99,25 +99,57 @@ def width_of(n: int, least: int = 0) -> int:
     return max(least, (n - 1).bit_length() if n > 1 else 0)
 
 
+#: Widths of which bytes are made without a gap.
+EVEN = (1, 2, 4, 8)
+
+
 def unpack_cells(rows: np.ndarray, bits: int, cells: int) -> np.ndarray:
     """Palette indices; cells without a row are 0."""
-    per = 64 // bits
-    shifts = (np.arange(per) * bits).astype("u8")
-    flat = ((rows.astype("u8")[:, None] >> shifts) & np.uint64((1 << bits) - 1)).ravel()[:cells].astype("i8")
-    return np.concatenate([flat, np.zeros(cells - len(flat), "i8")])
+    out = np.zeros(cells, "i8")
+    if bits in EVEN:  # rows without a gap: bytes, halved as often as needed
+        flat, wide = np.ascontiguousarray(rows, "<u8").view("u1"), 8
+        while wide > bits:
+            wide //= 2
+            halves = np.empty(2 * len(flat), "u1")
+            halves[::2], halves[1::2] = flat & ((1 << wide) - 1), flat >> wide
+            flat = halves
+    else:
+        shifts = (np.arange(64 // bits) * bits).astype("u8")
+        flat = ((rows.astype("u8")[:, None] >> shifts) & np.uint64((1 << bits) - 1)).ravel()
+    n = min(cells, len(flat))
+    out[:n] = flat[:n]
+    return out
 
 
 def pack_cells(index: np.ndarray, bits: int) -> np.ndarray:
     per = 64 // bits
-    padded = np.zeros(-(-len(index) // per) * per, "u8")
+    padded = np.zeros(-(-len(index) // per) * per, "u1" if bits in EVEN else "u8")
     padded[: len(index)] = index
+    if bits in EVEN:
+        while bits < 8:
+            padded, bits = padded[::2] | padded[1::2] << bits, 2 * bits
+        return padded.view("<u8").astype("u8", copy=False)
     return np.bitwise_or.reduce(padded.reshape(-1, per).T << (np.arange(per) * bits).astype("u8")[:, None], axis=0)
 
 
+def _places(values: list[int]) -> bytes:
+    out = bytearray(256)
+    for i, v in enumerate(values):
+        out[v] = i
+    return bytes(out)
+
+
 def first_seen(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(values in order of first appearance, index of each cell)."""
     low, n = int(cells.min()) if len(cells) else 0, len(cells)
     span = int(cells.max()) - low + 1 if n else 0
+    if span == 1:
+        return cells[:1].copy(), np.zeros(n, "i8")
+    if 0 < span <= 256:  # as bytes: found and told apart without a number a cell
+        raw = (cells - low).astype("u1")
+        text = raw.tobytes()
+        met = list(dict.fromkeys(text)) if n <= 256 else sorted(np.flatnonzero(np.bincount(raw)).tolist(), key=text.find)
+        return (np.array(met) + low).astype(cells.dtype), np.frombuffer(text.translate(_places(met)), "u1")
     if 0 < span <= 1 << 16:  # no sort: what is written to a place last stays, so cells are gone through backwards
         at = cells - low
         first = np.full(span, n)

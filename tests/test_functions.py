@@ -102,3 +102,21 @@ def test_git_ids(spark, tmp_path):
 def test_empty_tree(spark):
     empty = spark.range(1).select(hashing.tree_oid(F.from_json(F.lit("[]"), "array<struct<name:string,oid:string,is_dir:boolean>>"))).first()[0]
     assert empty == hashing.EMPTY_TREE == hashlib.sha1(b"tree 0\0").hexdigest()
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 4, 5, 8, 9])
+@pytest.mark.parametrize("n", [1, 63, 64, 256, 257, 4096])
+def test_cells_as_bytes(bits, n):
+    """Few values are told apart as bytes; rows are those of the formula at any width."""
+    cells = np.random.default_rng(n).integers(0, 1 << bits, n) + 300
+    values, index = packing.first_seen(cells)
+    assert list(dict.fromkeys(cells.tolist())) == values.tolist() and values[index].tolist() == cells.tolist()
+    assert bits > 8 or index.dtype.itemsize == 1 or len(values) == 1
+    width, per = packing.width_of(len(values), bits), 64 // packing.width_of(len(values), bits)
+    rows = [sum(int(v) << (k * width) for k, v in enumerate(index[at : at + per])) for at in range(0, n, per)]
+    assert packing.pack_cells(index, width).tolist() == rows
+    assert packing.unpack_cells(np.array(rows, ">u8"), width, n + 70).tolist() == [*index.tolist(), *[0] * (packed_extra(n, per))] + [0] * (70 - packed_extra(n, per))
+
+
+def packed_extra(n, per):
+    return min(70, -n % per)
