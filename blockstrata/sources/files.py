@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockstrata.functions.paths import matches, safe_key
+from blockstrata.sources.batches import in_parts
 
 SCHEMA = "key string, content binary"
+#: Files of a listing that leave at once.
+LISTED = 10_000
 
 
 def open_store(root: str):
@@ -34,12 +37,81 @@ def _key(root: str):
 def scan(spark: SparkSession, root: str, pattern: str | None = None, *, content: bool = True) -> DataFrame:
     """All files below ``root``: key, size and content. Without content only the listing is read.
 
-    Spark counts each file as 4 MB more than it has, so small ones come some 30 a task; such pieces are read together,
-    by several tasks a core."""
-    base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_literal(root))
-    base = base.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    out = base.select(_key(root).alias("key"), F.col("length").alias("size"), *(["content"] if content else []))
-    return out.where(matches(F.col("key"), pattern)) if pattern else out
+    Directories alone come to the driver; tasks list the files of each and, dealt by key to several tasks a core, read
+    them. Spark's own reader leaves out files without content and all that is below a name with _ or . in front, so it
+    is for stores that only Spark opens."""
+    root, tasks = _qualified(spark, root), max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept = lambda rows: rows.where(matches(F.col("key"), pattern)) if pattern else rows
+    if not _opens(root):
+        base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_literal(root)).coalesce(tasks)
+        return kept(base.select(_key(root).alias("key"), F.col("length").alias("size"), *(["content"] if content else [])))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _below(root, batches, "File"):
+            for at in range(0, len(found), LISTED):
+                keys, sizes = zip(*found[at : at + LISTED], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], ["key", "size"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(root)
+        for batch in batches:
+            for rows in in_parts(_read(store, base, key) for key in batch.column(0).to_pylist()):
+                keys, contents = zip(*rows, strict=True)
+                columns = [pa.array(keys, pa.string()), pa.array(map(len, contents), pa.int64()), pa.array(contents, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "size", "content"])
+
+    out = kept(_dealt(spark, _folders(spark, root, tasks), tasks).mapInArrow(listed, "key string, size bigint"))
+    return out.select("key").repartition(tasks, "key").mapInArrow(read, "key string, size bigint, content binary") if content else out
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """As Spark understands it: with its scheme, and not relative."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString()
+
+
+def _opens(root: str) -> bool:
+    """Whether tasks can open this store themselves."""
+    try:
+        open_store(root)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def _folders(spark: SparkSession, root: str, tasks: int) -> list[str]:
+    """All directories below a root, with the root itself, level by level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _below(root, batches, "Directory"):
+            yield pa.RecordBatch.from_arrays([pa.array([key for key, _ in found], pa.string())], ["folder"])
+
+    out, level = [], [""]
+    while level:
+        out += level
+        level = [r["folder"] for r in _dealt(spark, level, tasks).mapInArrow(run, "folder string").collect()]
+    return out
+
+
+def _dealt(spark: SparkSession, folders: list[str], tasks: int) -> DataFrame:
+    return spark.createDataFrame(pa.table({"folder": pa.array(folders, pa.string())})).repartition(min(len(folders), tasks))
+
+
+def _below(root: str, batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+    """Each folder, with the keys and sizes of what is of this kind right below it."""
+    from pyarrow import fs
+
+    store, base = open_store(root)
+    base = base.rstrip("/")
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/") or "/"))
+            yield folder, [(f"{folder}/{i.base_name}".lstrip("/"), i.size) for i in found if i.type.name == kind]
+
+
+def _read(store, base: str, key: str) -> tuple[str, bytes]:
+    with store.open_input_file(f"{base.rstrip('/')}/{key}") as f:
+        return key, f.read()
 
 
 def _literal(root: str) -> str:
