@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +38,7 @@ def _key(root: str):
 def scan(spark: SparkSession, root: str, pattern: str | None = None, *, content: bool = True) -> DataFrame:
     """All files below ``root``: key, size and content. Without content only the listing is read.
 
-    Directories alone come to the driver; tasks list the files of each and, dealt by key to several tasks a core, read
+    Directories alone come to the driver; tasks list the files of each and, dealt evenly to several tasks a core, read
     them. Spark's own reader leaves out files without content and all that is below a name with _ or . in front, so it
     is for stores that only Spark opens."""
     root, tasks = _qualified(spark, root), max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -47,7 +48,8 @@ def scan(spark: SparkSession, root: str, pattern: str | None = None, *, content:
         return kept(base.select(_key(root).alias("key"), F.col("length").alias("size"), *(["content"] if content else [])))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _below(root, batches, "File"):
+        for folder, infos in _below(root, batches):
+            found = [(f"{folder}{i.base_name}", i.size) for i in infos if i.is_file]
             for at in range(0, len(found), LISTED):
                 keys, sizes = zip(*found[at : at + LISTED], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], ["key", "size"])
@@ -60,8 +62,9 @@ def scan(spark: SparkSession, root: str, pattern: str | None = None, *, content:
                 columns = [pa.array(keys, pa.string()), pa.array(map(len, contents), pa.int64()), pa.array(contents, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "size", "content"])
 
-    out = kept(_dealt(spark, _folders(spark, root, tasks), tasks).mapInArrow(listed, "key string, size bigint"))
-    return out.select("key").repartition(tasks, "key").mapInArrow(read, "key string, size bigint, content binary") if content else out
+    folders, number = _folders(spark, root, tasks)
+    out = kept(_dealt(spark, folders, tasks).mapInArrow(listed, "key string, size bigint"))
+    return out.select("key").repartition(max(1, min(tasks, number))).mapInArrow(read, "key string, size bigint, content binary") if content else out
 
 
 def _qualified(spark: SparkSession, root: str) -> str:
@@ -79,34 +82,35 @@ def _opens(root: str) -> bool:
     return True
 
 
-def _folders(spark: SparkSession, root: str, tasks: int) -> list[str]:
-    """All directories below a root, with the root itself, level by level."""
+def _folders(spark: SparkSession, root: str, tasks: int) -> tuple[list[str], int]:
+    """All directories below a root, with the root itself, level by level; and the number of files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _below(root, batches, "Directory"):
-            yield pa.RecordBatch.from_arrays([pa.array([key for key, _ in found], pa.string())], ["folder"])
+        for folder, infos in _below(root, batches):
+            below = [f"{folder}{i.base_name}/" for i in infos if i.type.name == "Directory"]
+            number = sum(i.is_file for i in infos)
+            yield pa.RecordBatch.from_arrays([pa.array([*below, None], pa.string()), pa.array([0] * len(below) + [number], pa.int64())], ["folder", "files"])
 
-    out, level = [], [""]
+    out, level, number = [], [""], 0
     while level:
         out += level
-        level = [r["folder"] for r in _dealt(spark, level, tasks).mapInArrow(run, "folder string").collect()]
-    return out
+        rows = _dealt(spark, level, tasks).mapInArrow(run, "folder string, files bigint").collect()
+        level, number = [r["folder"] for r in rows if r["folder"] is not None], number + sum(r["files"] for r in rows)
+    return out, number
 
 
 def _dealt(spark: SparkSession, folders: list[str], tasks: int) -> DataFrame:
     return spark.createDataFrame(pa.table({"folder": pa.array(folders, pa.string())})).repartition(min(len(folders), tasks))
 
 
-def _below(root: str, batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[str, list[tuple[str, int]]]]:
-    """Each folder, with the keys and sizes of what is of this kind right below it."""
+def _below(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list]]:
+    """Each folder, its name with a slash behind, and what is right below it."""
     from pyarrow import fs
 
     store, base = open_store(root)
-    base = base.rstrip("/")
     for batch in batches:
         for folder in batch.column(0).to_pylist():
-            found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/") or "/"))
-            yield folder, [(f"{folder}/{i.base_name}".lstrip("/"), i.size) for i in found if i.type.name == kind]
+            yield folder, store.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{folder}".rstrip("/") or "/"))
 
 
 def _read(store, base: str, key: str) -> tuple[str, bytes]:
@@ -134,7 +138,8 @@ def lookup(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 def put(entries: DataFrame, root: str) -> int:
     """Write key and content below ``root``, whatever was there; number of files. Executors write in parallel;
-    a file that a repeated task writes again has the same content."""
+    a file that a repeated task writes again has the same content, also meanwhile, where files are local."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(root)
         made: set[str] = set()
@@ -144,9 +149,24 @@ def put(entries: DataFrame, root: str) -> int:
                 if (folder := path.rpartition("/")[0]) not in made:
                     store.create_dir(folder, recursive=True)
                     made.add(folder)
-                with store.open_output_stream(path) as out:
-                    out.write(content.as_buffer())
+                _write(store, path, content.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     done = entries.select(safe_key(F.col("key")).alias("key"), "content").mapInArrow(write, "n bigint")
     return done.agg(F.sum("n")).first()[0] or 0
+
+
+def _write(store, path: str, content: pa.Buffer) -> None:
+    """A local file that is there is written over and then cut to its length, not emptied first: a task that is repeated
+    and ended halfway leaves it as the other one has written it. A name's suffix doesn't compress the content."""
+    if store.type_name == "local":
+        out, left = os.open(path, os.O_WRONLY | os.O_CREAT, 0o666), memoryview(content)
+        try:
+            while left:
+                left = left[os.write(out, left) :]
+            os.ftruncate(out, content.size)
+        finally:
+            os.close(out)
+    else:
+        with store.open_output_stream(path, compression=None) as out:
+            out.write(content)

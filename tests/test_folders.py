@@ -1,6 +1,7 @@
 """Folders come back whole: also files without content, and names that Spark's reader takes for hidden ones."""
 
 import os
+import threading
 from pathlib import Path
 
 import duckdb
@@ -57,3 +58,39 @@ def test_what_only_spark_opens(spark, tmp_path):
     (Path(tmp_path) / "a/b.txt").write_bytes(b"1")
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
     assert [(r["key"], bytes(r["content"])) for r in files.scan(spark, "viewfs://store/in").collect()] == [("a/b.txt", b"1")]
+
+
+def test_put_and_scan_have_all_files(spark, odd_documents):
+    same_as_sql(spark, odd_documents, "folder_put_scan")
+
+
+def test_few_files_need_few_tasks(spark, tmp_path):
+    files.put(spark.createDataFrame([("a/x", b"1"), ("y", b"")], files.SCHEMA), str(tmp_path))
+    assert files.scan(spark, str(tmp_path)).rdd.getNumPartitions() == 2
+
+
+def test_put_writes_what_it_is_given(spark, tmp_path):
+    """Whatever the name's suffix, and whatever was there."""
+    names = [f"a{suffix}" for suffix in ("", ".gz", ".bz2", ".zst", ".lz4", ".br")]
+    for content in (b"long content", b"short", b""):
+        files.put(spark.createDataFrame([(n, content) for n in names], files.SCHEMA), str(tmp_path))
+        assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == dict.fromkeys(names, content)
+
+
+def test_a_repeated_task_does_not_empty_files(spark, tmp_path):
+    """What a task writes again, and may not finish, has its content all the time."""
+    content, at, seen, over = bytes(range(256)) * 50_000, tmp_path / "x.json", set(), threading.Event()
+    frame = spark.createDataFrame([("x.json", content)], files.SCHEMA)
+    files.put(frame, str(tmp_path))
+
+    def watch():
+        while not over.is_set():
+            seen.add(at.stat().st_size)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    for _ in range(3):
+        files.put(frame, str(tmp_path))
+    over.set()
+    watcher.join()
+    assert seen == {len(content)} and at.read_bytes() == content
